@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.operators.sequence import numbered
-from trivane.operators.skew import salted_join
+from trivane.operators.skew import hot_keys, salted_join
 
 
 def terms(triples: DataFrame) -> DataFrame:
@@ -25,16 +25,18 @@ def build(*stores: DataFrame) -> DataFrame:
 
 def encode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace terms by ids.  A predicate can hold a third of all rows, so its join is salted."""
-    coded = triples.select("s", "p", "o")
+    base = triples.select("s", "p", "o")
+    coded = base
     for place in ("s", "p", "o"):
         ids = dictionary.select(F.col("term").alias(place), F.col("id").alias(f"{place}_id"))
-        coded = salted_join(coded, ids, [place])
+        coded = salted_join(coded, ids, [place], hot=hot_keys(base, [place]))
     return coded.select("s_id", "p_id", "o_id")
 
 
 def decode(coded: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``coded`` is read several times, so it should be a stored relation."""
     out = coded
     for place in ("s", "p", "o"):
         names = dictionary.select(F.col("id").alias(f"{place}_id"), F.col("term").alias(place))
-        out = salted_join(out, names, [f"{place}_id"])
+        out = salted_join(out, names, [f"{place}_id"], hot=hot_keys(coded, [f"{place}_id"]))
     return out.select("s", "p", "o")

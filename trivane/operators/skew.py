@@ -28,15 +28,25 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", spread: Sequence[str] = ()
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    spread: Sequence[str] = (),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that spreads the hot keys of ``left`` over ``SALT`` tasks.
 
     Rows of ``right`` with a hot key are repeated once per salt, so every left row still meets each of its
     partners exactly once.  ``spread`` are left columns whose values differ within a key.  NULL keys never
     match and are left alone.
+
+    Finding the hot keys reads ``left`` again.  In a chain of salted joins pass ``hot``, found on the
+    chain's input, or the plan doubles with every link.
     """
-    hot = hot_keys(left.filter(F.col(keys[0]).isNotNull()), keys).withColumn("__hot", F.lit(True))
+    if hot is None:
+        hot = hot_keys(left.filter(F.col(keys[0]).isNotNull()), keys)
+    hot = hot.withColumn("__hot", F.lit(True))
     by = list(spread) or [c for c in left.columns if c not in keys]
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int")).otherwise(F.lit(0))
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))

@@ -30,7 +30,7 @@ PREFIX_ROWS = 100_000
 
 def unescape(column: Column) -> Column:
     """Resolve the string escapes of a literal; a doubled backslash is set aside first."""
-    mark = ""
+    mark = "\x01"
     out = F.replace(column, F.lit("\\\\"), F.lit(mark))
     for escaped, plain in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
         out = F.replace(out, F.lit(escaped), F.lit(plain))
