@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.operators.skew import salted_join
+from trivane.operators.skew import hot_keys, salted_join
 from trivane.session import fits
 
 # Term patterns of the line formats.
 IRI = r"<[^>]*>"
 BLANK = r"_:\S+"
-LITERAL = r'"(?:[^"\\]|\\.)*"(?:\^\^(?:<[^>]*>|[^\s;,.]+)|@[A-Za-z0-9-]+)?'
+# Possessive repeats keep the matcher iterative, so a literal of any length fits the stack.
+QUOTED = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+LITERAL = rf'"{QUOTED}"(?:\^\^(?:<[^>]*>|[^\s;,.]+)|@[A-Za-z0-9-]+)?'
 NTRIPLES_LINE = rf"^\s*({IRI}|{BLANK})\s*({IRI})\s*({IRI}|{BLANK}|{LITERAL})\s*\.\s*$"
-LITERAL_PARTS = r'^"((?:[^"\\]|\\.)*)"(?:\^\^(.+)|@([A-Za-z0-9-]+))?$'
+LITERAL_PARTS = rf'^"({QUOTED})"(?:\^\^(.+)|@([A-Za-z0-9-]+))?$'
 BARE = r'[^\s;,"<>]+'
 STATEMENT_END = r"\.[ \t\r]*(?:#[^\n]*)?(?:\n|$)"
 PREFIX_LINE = r"@prefix\s+([^\s:]*):\s*<([^>]*)>"
@@ -163,7 +165,7 @@ def parse_n3(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.regexp_extract("value", subject, 1).alias("subject"), F.regexp_extract("value", subject, 2).alias("rest")
     )
     # Literals may hold a semicolon or comma, so the lists are matched, not split.
-    pair = rf"({IRI}|{BARE})\s+((?:{term})(?:\s*,\s*(?:{term}))*)"
+    pair = rf"({IRI}|{BARE})\s+((?:{term})(?:\s*,\s*(?:{term}))*+)"
     pairs = body.select("subject", F.explode(F.regexp_extract_all("rest", F.lit(pair), F.lit(0))).alias("pair"))
     split = pairs.select(
         "subject",
@@ -176,20 +178,25 @@ def parse_n3(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed_terms(items, F.col("subject"), F.col("predicate"), F.col("object")), prefixes
 
 
-def expand_column(df: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
+def _prefix_of(column: str) -> Column:
+    short = F.col(column).contains(":") & ~F.col(column).rlike(r"^(https?://|_:)")
+    return F.when(short, F.split_part(F.col(column), F.lit(":"), F.lit(1)))
+
+
+def expand_column(df: DataFrame, column: str, prefixes: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Replace ``prefix:local`` in one column; unknown prefixes, full IRIs and blank nodes stay.
 
     ``prefixes`` has one row per ``prefix``.  One prefix is often shared by most rows, so the table is
-    broadcast while it is small and joined with salting beyond that.
+    broadcast while it is small and joined with salting beyond that.  ``source`` is a cheaper relation with
+    the same column, in which to look for prefixes that are shared by many rows.
     """
-    head = F.split_part(F.col(column), F.lit(":"), F.lit(1))
-    short = F.col(column).contains(":") & ~F.col(column).rlike(r"^(https?://|_:)")
-    keyed = df.withColumn("__prefix", F.when(short, head))
+    keyed = df.withColumn("__prefix", _prefix_of(column))
     table = prefixes.select(F.col("prefix").alias("__prefix"), F.col("iri").alias("__iri"))
     if fits(table, PREFIX_ROWS):
         joined = keyed.join(F.broadcast(table), "__prefix", "left")
     else:
-        joined = salted_join(keyed, table, ["__prefix"], "left")
+        heads = (source if source is not None else df).select(_prefix_of(column).alias("__prefix")).dropna()
+        joined = salted_join(keyed, table, ["__prefix"], "left", hot=hot_keys(heads, ["__prefix"]))
     local = F.substring(F.col(column), F.length("__prefix") + 2, F.length(column))
     whole = F.when(F.col("__iri").isNotNull(), F.concat("__iri", local)).otherwise(F.col(column))
     return joined.withColumn(column, whole).select(*df.columns)
@@ -197,9 +204,10 @@ def expand_column(df: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
 
 def expand_prefixes(triples: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Expand subjects, predicates, IRI objects and datatypes."""
-    out = expand_column(expand_column(triples, "s", prefixes), "p", prefixes)
-    if "o_kind" not in triples.columns:
-        return expand_column(out, "o", prefixes)
-    iri = out.withColumn("__iri_o", F.when(F.col("o_kind") == "iri", F.col("o")))
-    iri = expand_column(expand_column(iri, "__iri_o", prefixes), "o_datatype", prefixes)
-    return iri.withColumn("o", F.coalesce("__iri_o", "o")).select(*triples.columns)
+    typed = "o_kind" in triples.columns
+    link = F.when(F.col("o_kind") == "iri", F.col("o")) if typed else F.col("o")
+    source = triples.withColumn("__link", link)
+    out = source
+    for column in ["s", "p", "__link", *(["o_datatype"] if typed and "o_datatype" in triples.columns else [])]:
+        out = expand_column(out, column, prefixes, source)
+    return out.withColumn("o", F.coalesce("__link", "o")).select(*triples.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("patterns", "builder")
+MODULES = ("patterns", "builder", "sources", "reasoning", "streams", "learning")
 
 
 def load():
