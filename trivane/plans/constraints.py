@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trivane.operators.bgp import join_patterns, join_solutions, scan, variables
 from trivane.plans.rules import FACT, Rule, infer, union_all
-from trivane.session import materialize
+from trivane.session import StepLog, materialize
 from trivane.store import SPO, TripleStore
 from trivane.terms import Pattern, Prefixes, twin
 
@@ -199,18 +199,17 @@ def _settle(open_facts: DataFrame, settled: DataFrame, denials: Sequence[Denial]
     speak against it.
     """
     open_facts = materialize(open_facts, "open-facts")
-    kept: list[DataFrame] = [settled]
-    gone: list[DataFrame] = []
+    kept, gone = StepLog(open_facts, "kept"), StepLog(open_facts.select(RANK), "gone")
     while not open_facts.isEmpty():
-        alive = union_all([*kept, open_facts])
+        standing = settled.unionByName(kept.all()) if len(kept) else settled
+        alive = standing.unionByName(open_facts)
         blocked = materialize(_latest_in_conflict(open_facts, alive, denials, prefixes), "blocked")
-        stays = materialize(_drop_ranks(open_facts, blocked), "stays")
-        kept.append(stays)
+        kept.append(_drop_ranks(open_facts, blocked))
         waiting = open_facts.join(blocked, RANK, "left_semi")
-        rejected = materialize(_latest_in_conflict(waiting, union_all(kept), denials, prefixes), "rejected")
-        gone.append(rejected)
+        standing = settled.unionByName(kept.all())
+        rejected = gone.append(_latest_in_conflict(waiting, standing, denials, prefixes))
         open_facts = materialize(_drop_ranks(waiting, rejected), "open-facts")
-    return union_all(gone) if gone else settled.select(RANK).limit(0)
+    return gone.all()
 
 
 def removed_by_repair(facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivane.operators.bgp import join_order, join_solutions, scan, variables
-from trivane.session import materialize
+from trivane.session import StepLog, materialize
 from trivane.store import SPO, TripleStore, instantiate
 from trivane.terms import Pattern, Prefixes, is_var
 
@@ -133,43 +133,44 @@ def infer(
     known_base = _with_predicates(base, head_predicates)
     if background is not None:
         fixed = _with_predicates(background.select(*FACT), head_predicates)
-    derived: list[DataFrame] = []
+    log = StepLog(base, "rules")
     delta: DataFrame | None = None
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
-        everything = union_all([relevant, *derived])
+        found = log.all()
+        everything = relevant.unionByName(found) if len(log) else relevant
+        earlier = relevant.unionByName(log.before_last()) if len(log) > 1 else relevant
         conclusions = []
         for rule in rules:
             body = rule.premises(prefixes)
             if delta is None or not semi_naive:
-                conclusions.append(apply_rule(rule, lambda i: everything, carry, background, prefixes))
+                conclusions.append(apply_rule(rule, lambda i, facts=everything: facts, carry, background, prefixes))
                 continue
             for position, premise in enumerate(body):
                 if head_predicates is not None and not is_var(premise.p) and premise.p not in head_predicates:
                     continue  # no new fact can match this premise
-                step = delta
 
-                def relation_of(i: int, position: int = position, step: DataFrame = step) -> DataFrame:
-                    return step if i == position else everything
+                # Premises before the one that takes the new facts see only older ones, so a combination of
+                # new facts is formed once.
+                def relation_of(i, at=position, new=delta, old=earlier, both=everything) -> DataFrame:
+                    return new if i == at else old if i < at else both
 
                 conclusions.append(apply_rule(rule, relation_of, carry, background, prefixes))
         if not conclusions:
             break
         candidates = union_all([c.select(*columns) for c in conclusions]).dropDuplicates(key)
-        known = union_all([known_base, *derived]).select(*key)
-        fresh = candidates.join(known, key, "left_anti")
+        known = known_base.unionByName(found) if len(log) else known_base
+        fresh = candidates.join(known.select(*key), key, "left_anti")
         if background is not None:
             fresh = fresh.join(fixed.select(*SPO), SPO, "left_anti")
         if accept is not None:
-            fresh = accept(materialize(fresh, "candidates"), union_all([base, *derived]))
-        delta = materialize(fresh.select(*columns), "rule-round")
+            fresh = accept(materialize(fresh, "candidates"), base.unionByName(found) if len(log) else base)
+        delta = log.append(fresh)
         rounds += 1
         if delta.isEmpty():
+            log.drop_last()
             break
-        derived.append(delta)
-    if not derived:
-        return base.limit(0)
-    return union_all(derived)
+    return log.all()
 
 
 class RuleBase:

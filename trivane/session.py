@@ -40,3 +40,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+class StepLog:
+    """The written steps of an iteration, readable as one file scan over any run of them.
+
+    One scan keeps the plan of every round the same size and shape, however many rounds there are.
+    """
+
+    def __init__(self, like: DataFrame, label: str) -> None:
+        self._spark = like.sparkSession
+        self._schema = like.schema
+        self._root = new_step_dir(self._spark, label)
+        self._paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self._paths)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self._spark.createDataFrame([], self._schema)
+        return self._spark.read.schema(self._schema).parquet(*paths)
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write one step and return it."""
+        path = f"{self._root}/step-{len(self._paths)}"
+        df.select(*self._schema.names).write.parquet(path)
+        self._paths.append(path)
+        return self._read([path])
+
+    def drop_last(self) -> None:
+        """Forget an empty last step."""
+        self._paths.pop()
+
+    def all(self) -> DataFrame:
+        return self._read(self._paths)
+
+    def before_last(self) -> DataFrame:
+        return self._read(self._paths[:-1])

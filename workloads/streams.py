@@ -32,7 +32,7 @@ from trivane.streaming.windows import (
     window_sets,
 )
 from workloads.registry import query
-from workloads.tables import EVENTS_SQL, events, table
+from workloads.tables import EVENTS_SQL, MINUTE, events, table
 
 # First minute of the recorded month.
 START = 28401120
@@ -389,7 +389,7 @@ def rsp_late_batch(spark, sf):
     """Events delivered k minutes after they happened; those more than half an hour behind are dropped."""
     delayed = table(spark, sf, "events").select(
         "event_id",
-        F.expr("cast(floor(unix_micros(cast(ts as timestamp)) / 1000000 / 60) as bigint)").alias("ts"),
+        F.expr(MINUTE).alias("ts"),
         F.from_json("props", "k bigint")["k"].alias("k"),
     )
     arrived = numbered(delayed, [F.col("ts") + F.col("k"), F.col("event_id")], "arrival", "arrivals")

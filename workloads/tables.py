@@ -6,7 +6,7 @@ only the branches that can match, and of those only the columns it binds.
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,34 +90,49 @@ MAPPING = [
 PARENT = ("concat('part/', p_partkey)", "parent", "concat('part/', cast(floor(p_partkey / 2) as bigint))")
 
 
+# The columns of the given tables.  Stated, so that opening a table starts no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _selects(name: str, source: str, text: str) -> list[str]:
+    """One SELECT per predicate of a table, in the words of one engine."""
+    ((_, subject, entries),) = [m for m in MAPPING if m[0] == name]
+    parts = [
+        f"SELECT {subject} AS s, '{p}' AS p, {value.format(text=text)} AS o, {number} AS o_num FROM {source}"
+        for p, value, number in entries
+    ]
+    if name == "part":
+        s, p, o = PARENT
+        parts.append(f"SELECT {s}, '{p}', {o}, cast(null as double) FROM {source} WHERE p_partkey > 1")
+    return parts
+
+
+def _names(tables: tuple[str, ...]) -> list[str]:
+    return [m[0] for m in MAPPING if not tables or m[0] in tables]
 
 
 def triples(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     """Triples of the named tables, or of all; no triple occurs twice, since subjects are keys."""
-    parts = []
-    for name, subject, entries in MAPPING:
-        if tables and name not in tables:
-            continue
-        source = table(spark, sf_dir, name)
-        for predicate, value, number in entries:
-            parts.append(
-                source.select(
-                    F.expr(subject).alias("s"),
-                    F.lit(predicate).alias("p"),
-                    F.expr(value.format(text="string")).alias("o"),
-                    F.expr(number).alias("o_num"),
-                )
-            )
-        if name == "part":
-            s, p, o = PARENT
-            parts.append(
-                source.filter("p_partkey > 1").select(
-                    F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(None).cast("double").alias("o_num")
-                )
-            )
-    return reduce(DataFrame.union, parts)
+    names = _names(tables)
+    sql = " UNION ALL ".join(part for n in names for part in _selects(n, "{" + n + "}", "string"))
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def store(spark: SparkSession, sf_dir: str, *tables: str) -> TripleStore:
@@ -127,18 +142,7 @@ def store(spark: SparkSession, sf_dir: str, *tables: str) -> TripleStore:
 @cache
 def triples_sql(*tables: str) -> str:
     """Body of the common table expression ``triples(s, p, o, o_num)``."""
-    parts = []
-    for name, subject, entries in MAPPING:
-        if tables and name not in tables:
-            continue
-        for predicate, value, number in entries:
-            parts.append(
-                f"SELECT {subject} AS s, '{predicate}' AS p, {value.format(text='varchar')} AS o, "
-                f"{number} AS o_num FROM {name}"
-            )
-        if name == "part":
-            s, p, o = PARENT
-            parts.append(f"SELECT {s}, '{p}', {o}, cast(null as double) FROM part WHERE p_partkey > 1")
+    parts = [part for n in _names(tables) for part in _selects(n, n, "varchar")]
     return "triples(s, p, o, o_num) AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -148,8 +152,8 @@ def with_triples(sql: str, *tables: str) -> str:
 
 # -- events as a stream --------------------------------------------------------------------------------
 
-# Fixed value: seconds per logical tick.
-TICK = 60
+# Whole minutes since 1970, whatever the session's time zone.
+MINUTE = "cast(datediff(ts, date'1970-01-01') * 1440 + hour(ts) * 60 + minute(ts) as bigint)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +163,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("p"),
         F.col("event_id").cast("string").alias("o"),
         F.col("value").alias("o_num"),
-        F.expr(f"cast(floor(unix_micros(cast(ts as timestamp)) / 1000000 / {TICK}) as bigint)").alias("ts"),
+        F.expr(MINUTE).alias("ts"),
     )
 
 
 EVENTS_SQL = (
     "events_t(s, p, o, o_num, ts) AS (SELECT concat('user/', user_id), event_type, cast(event_id as varchar), value, "
-    f"cast(floor(epoch_us(ts) / 1000000 / {TICK}) as bigint) FROM events)"
+    "cast(floor(epoch_us(ts) / 1000000 / 60) as bigint) FROM events)"
 )
