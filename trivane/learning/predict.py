@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 from trivane.sources.feeds import to_triples
 from trivane.store import TripleStore
 
+# Models of this module travel with the task, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Weights of the resource score by which models are compared.
 SCORE_WEIGHTS = {"cpu_usage_percent": 0.5, "memory_usage_mb": 0.4, "prediction_time": 0.1}
 

@@ -48,10 +48,10 @@ def aggregate(
 
 def content_changes(stream: DataFrame, width: str | int, slide: str | int | None = None, delay: str | int = 0) -> DataFrame:
     """Each triple the first time it enters a window: the changes of the window's content set."""
-    spread = windowed(stream, width, slide, delay)
-    return spread.dropDuplicates(["window", *SPO]).select(
-        F.col("window.start").alias("w_start"), F.col("window.end").alias("w_end"), *SPO, "ts"
-    )
+    # A stream may carry one event-time column only; behind the window the time itself is plain data.
+    spread = windowed(stream, width, slide, delay).withColumn("at", F.timestamp_micros(F.unix_micros("ts")))
+    first = spread.select("window", *SPO, "at").dropDuplicates(["window", *SPO])
+    return first.select(F.col("window.start").alias("w_start"), F.col("window.end").alias("w_end"), *SPO, "at")
 
 
 def insertions_and_deletions(
@@ -70,10 +70,8 @@ def insertions_and_deletions(
             F.struct((F.col("ts") + step).alias("at"), F.lit(2).alias("mark")),
         )
     )
-    marked = stream.withWatermark("ts", interval(delay)).withColumn("__m", marks)
-    # The shifted time keeps the watermark's metadata only through the event-time column itself, so the
-    # watermark is declared on the marked time, one slide more generous.
-    marked = marked.select(F.col("__m.at").alias("at"), F.col("__m.mark").alias("mark"), *SPO)
+    marked = stream.withColumn("__m", marks).select(F.col("__m.at").alias("at"), F.col("__m.mark").alias("mark"), *SPO)
+    # The marked times run one slide ahead of the events, and so does the delay.
     keyed = marked.withWatermark("at", interval(seconds(delay) + seconds(slide)))
     grouped = keyed.groupBy(F.window("at", interval(width), interval(slide)), *SPO).agg(F.bit_or("mark").alias("mark"))
     return grouped.filter(F.col("mark") == wanted).select(

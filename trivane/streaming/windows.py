@@ -42,11 +42,15 @@ class WindowSpec:
 
     def first_close(self, ts: Column) -> Column:
         if self.closed == "both":
-            return F.ceil(ts / F.lit(self.slide)) * self.slide
-        return F.floor(ts / F.lit(self.slide)) * self.slide + self.slide
+            return ts + F.pmod(-ts, F.lit(self.slide))
+        return self.on_grid(ts) + self.slide
 
     def last_close(self, ts: Column) -> Column:
-        return F.floor((ts + self.width) / F.lit(self.slide)) * self.slide
+        return self.on_grid(ts + self.width)
+
+    def on_grid(self, ts: Column) -> Column:
+        """The last close at or before ``ts``."""
+        return ts - F.pmod(ts, F.lit(self.slide))
 
     def open_of(self, close: Column) -> Column:
         return F.greatest(close - self.width, F.lit(0).cast("bigint"))
@@ -105,7 +109,7 @@ def evaluations(events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWind
     upper = spec.last_close(anchor)
     if _has(reports, OnWindowClose):
         latest = now - 1 if spec.closed == "both" else now
-        upper = F.least(upper, F.floor(latest / F.lit(spec.slide)) * spec.slide)
+        upper = F.least(upper, spec.on_grid(latest))
     fired = points.withColumn("w_close", upper.cast("bigint")).filter(F.col("w_close") >= spec.first_close(anchor))
     for report in reports:
         if isinstance(report, Periodic):
