@@ -55,6 +55,15 @@ def test_joins_between_stores(make_store):
     assert tuples(several) == [("a", "p", "b"), ("a", "p", "z"), ("c", "p", "b")]
 
 
+def test_predicate_join_beyond_the_folding_bound(make_store, monkeypatch):
+    from trivane.operators import joins
+
+    monkeypatch.setattr(joins, "SMALL_SIDE", 1)
+    left, right = make_store([("a", "p", "b"), ("c", "q", "b")]), make_store([("b", "p", "w"), ("x", "p", "b"), ("x", "q", "y")])
+    found = TripleQuery(left).join(right).join_on_predicate().triples()
+    assert tuples(found) == [("a", "p", "b"), ("a", "p", "w"), ("c", "q", "y")]
+
+
 def test_theta_join_needs_an_anchor(make_store):
     left, right = make_store([("a", "v", "1"), ("b", "v", "-2.5")]), make_store([("x", "w", "1.9"), ("y", "w", "-3.4")])
     near = TripleQuery(left).join(right).join_with(band=Band("o_num", "o_num", 0.9)).triples()

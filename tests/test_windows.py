@@ -137,6 +137,8 @@ def test_background_and_rules_mix_with_window_content(spark, make_store):
     assert seen == [2]
     with pytest.raises(ValueError):
         StreamQueryBuilder(1, 1).build()
+    tuple_driven = StreamQueryBuilder(10, 10).add_query(Select("?x").where(("?x", "temp", "?t"))).add_tick("tuple").build()
+    assert tuple_driven.evaluate(events).count() == 0
 
 
 def test_difference_between_windows(spark):

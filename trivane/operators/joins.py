@@ -12,8 +12,8 @@ from trivane.operators.skew import salted_join
 from trivane.session import fits
 
 SPO = ["s", "p", "o"]
-# A side of a join on the predicate is broadcast up to this many distinct rows.
-SMALL_SIDE = 100_000
+# A side of a join on the predicate is folded into one value up to this many distinct rows.
+SMALL_SIDE = 10_000
 
 
 @dataclass(frozen=True)
@@ -47,20 +47,29 @@ def on_subject(left: DataFrame, right: DataFrame) -> DataFrame:
 def on_predicate(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l.s, l.p, r.o).
 
-    Both sides are reduced to what is emitted.  A predicate repeats over a large share of the rows, so a
-    side is broadcast when its row count allows it and the join is salted otherwise.
+    Both sides are reduced to what is emitted.  One predicate may cover most rows, so the smaller side is
+    folded into one value, predicate to objects, while its row count allows; beyond that the join is
+    salted.
     """
     l_side = left.select("s", "p").distinct()
     r_side = right.select("p", "o", "o_num").dropDuplicates(["p", "o"])
     if fits(r_side, SMALL_SIDE):
-        joined = l_side.join(F.broadcast(r_side), "p")
+        joined = _unfold(l_side, r_side)
     elif fits(l_side, SMALL_SIDE):
-        joined = r_side.join(F.broadcast(l_side), "p")
+        joined = _unfold(r_side, l_side)
     else:
         joined = salted_join(l_side, r_side, ["p"])
     return joined.select("s", "p", "o", "o_num").dropDuplicates(SPO)
 
 
+def _unfold(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Join on ``p`` with a side of checked size, held as a map from predicate to rows."""
+    rest = [c for c in small.columns if c != "p"]
+    groups = small.groupBy("p").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    lookup = groups.agg(F.map_from_entries(F.collect_list(F.struct("p", "rows")))).scalar()
+    return large.withColumn("__row", F.explode(lookup[F.col("p")])).select(*large.columns, "__row.*")
+
+
 def on_object(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l.s, r.p, r.o); an object shared by many left subjects is salted."""
     l_side = left.select("s", "o").distinct()

@@ -30,11 +30,12 @@ class StreamQuery:
     rules: Sequence[Rule] = ()
     background: TripleStore | None = None
     operator: str = "rstream"
+    tick: str = "time"
     consumer: Callable[[DataFrame], None] | None = field(default=None, compare=False)
 
     def evaluate(self, events: DataFrame) -> DataFrame:
         """Result rows keyed by ``fire_ts``."""
-        content = window_contents(events, self.window, self.reports).select(INSTANT, *FACT)
+        content = window_contents(events, self.window, self.reports, self.tick).select(INSTANT, *FACT)
         prefixes = self.background.prefixes if self.background else {}
         if self.rules:
             content = materialize(content, "window-content")
@@ -43,7 +44,7 @@ class StreamQuery:
             content = content.unionByName(added)
         rows = self.query.run(TripleStore(content, prefixes), carry=[INSTANT]).distinct()
         columns = [c for c in rows.columns if c != INSTANT]
-        fired = evaluations(events, self.window, self.reports).select(INSTANT)
+        fired = evaluations(events, self.window, self.reports, self.tick).select(INSTANT)
         out = relation_to_stream(rows, fired, self.operator, columns)
         if self.consumer is not None:
             self.consumer(out)
@@ -60,12 +61,17 @@ class StreamQueryBuilder:
         self._background: TripleStore | None = None
         self._query: Select | None = None
         self._operator = "rstream"
+        self._tick = "time"
         self._consumer: Callable[[DataFrame], None] | None = None
 
     def add_report_strategy(self, report) -> StreamQueryBuilder:
         self._reports.append(report)
         return self
 
+    def add_tick(self, tick: str) -> StreamQueryBuilder:
+        self._tick = tick
+        return self
+
     def add_triples(self, store: TripleStore) -> StreamQueryBuilder:
         self._background = store
         return self
@@ -96,6 +102,7 @@ class StreamQueryBuilder:
             self._rules,
             self._background,
             self._operator,
+            self._tick,
             self._consumer,
         )
 

@@ -96,11 +96,19 @@ def _has(reports: Sequence, kind: type) -> bool:
     return any(isinstance(r, kind) for r in reports)
 
 
-def evaluations(events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWindowClose(),)) -> DataFrame:
+# What may drive evaluations.  Only time does; the other two never evaluate anything.
+TICKS = ("time", "tuple", "batch")
+
+
+def evaluations(
+    events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWindowClose(),), tick: str = "time"
+) -> DataFrame:
     """``(fire_ts, previous, w_open, w_close)``: at most one evaluation per distinct event time.
 
     All reports have to agree; of the windows that qualify the latest one is evaluated.
     """
+    if tick not in TICKS:
+        raise ValueError(f"unknown tick {tick!r}")
     holds_something = _has(reports, (OnWindowClose, NonEmptyContent, OnContentChange))
     points = with_previous(events, "ts").filter(F.col("ts") > 0)
     before, now = F.col("previous"), F.col("ts")
@@ -120,18 +128,22 @@ def evaluations(events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWind
             F.min(F.coalesce(F.col("same_before"), F.lit(-(2**62)))).alias("oldest")
         )
         fired = fired.join(newest, "previous").filter(F.col("oldest") < F.col("w_close") - spec.width)
+    if tick != "time":
+        fired = fired.limit(0)
     return fired.select(
         now.alias("fire_ts"), before.alias("previous"), spec.open_of(F.col("w_close")).alias("w_open"), "w_close"
     )
 
 
-def window_contents(events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWindowClose(),)) -> DataFrame:
+def window_contents(
+    events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWindowClose(),), tick: str = "time"
+) -> DataFrame:
     """Content of every evaluated window: ``(fire_ts, w_open, w_close, s, p, o, o_num)``.
 
     The events join the evaluations on the window's close.  A window that holds a large share of the
     events is one join key; AQE splits that partition, since the other side has one row per evaluation.
     """
-    fired = evaluations(events, spec, reports)
+    fired = evaluations(events, spec, reports, tick)
     inside = assign(events, spec).drop("w_open").join(fired, "w_close", "inner")
     keys = ["fire_ts", "w_open", "w_close"]
     return (

@@ -11,11 +11,10 @@ from trivane.query import Select
 from trivane.sources.feeds import to_triples
 from trivane.store import TripleStore
 from workloads.registry import query
-from workloads.tables import store, table
+from workloads.tables import LINE, store, table
 
 MODEL = LinearModel({"quantity": 1.5, "discount": -20.0, "tax": 10.0}, bias=2.0)
 SCORE = "l_quantity * 0.0 + 2.0 + 1.5 * l_quantity + -20.0 * l_discount + 10.0 * l_tax"
-LINE = "concat('line/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
 INPUTS = {"quantity": "quantity", "discount": "discount", "tax": "tax"}
 
 

@@ -10,7 +10,7 @@ from trivane.query import Select, avg, maximum, minimum, total
 from trivane.store import TripleStore
 from trivane.terms import about
 from workloads.registry import query
-from workloads.tables import store, table, with_triples
+from workloads.tables import LINE, store, table, with_triples
 
 SHOP = ("region", "nation", "customer", "orders")
 
@@ -120,8 +120,7 @@ def bgp_join2_broadcast(spark, sf):
 
 @query(
     "bgp_chain3",
-    """SELECT concat('line/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS l,
-       concat('nation/', c_nationkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    f"""SELECT {LINE} AS l, concat('nation/', c_nationkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
        JOIN customer ON o_custkey = c_custkey""",
 )
 def bgp_chain3(spark, sf):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from trivane.store import TripleStore
 
 # Fixed values: (table, subject, [(predicate, object, number)]) with expressions both engines understand.
-_LINE = "concat('line/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
+# Order and line number alone are not unique in the given lines; part and price make them so.
+LINE = "concat('line/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', cast(round(l_extendedprice * 100) as bigint))"
 
 
 def _money(column: str) -> tuple[str, str]:
@@ -73,7 +74,7 @@ MAPPING = [
     ),
     (
         "lineitem",
-        _LINE,
+        LINE,
         [
             ("inOrder", *_link("order", "l_orderkey")),
             ("part", *_link("part", "l_partkey")),
