@@ -7,12 +7,13 @@ their shared variables.  The join algorithm is left to Catalyst and AQE unless t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivane.operators.wide import PropertyTable, scan_star, star_variables, stars
 from trivane.session import fits
 from trivane.terms import TWIN, Pattern, is_var, twin, var_name
 
@@ -62,13 +63,17 @@ def variables(df: DataFrame) -> list[str]:
 
 def join_order(patterns: Sequence[Pattern], bound: Iterable[str] = ()) -> list[Pattern]:
     """Most constants first, then always a pattern that shares a variable with what is bound."""
-    rest, known, ordered = list(patterns), set(bound), []
+    return linked_order(patterns, lambda p: p.variables, lambda p: p.bound, bound)
+
+
+def linked_order(items: Sequence, variables_of: Callable, constants_of: Callable, bound: Iterable[str] = ()) -> list:
+    rest, known, ordered = list(enumerate(items)), set(bound), []
     while rest:
-        linked = [p for p in rest if known & set(p.variables)] or rest
-        best = max(linked, key=lambda p: (len(known & set(p.variables)) + p.bound, -patterns.index(p)))
+        linked = [e for e in rest if known & set(variables_of(e[1]))] or rest
+        best = max(linked, key=lambda e: (len(known & set(variables_of(e[1]))) + constants_of(e[1]), -e[0]))
         rest.remove(best)
-        ordered.append(best)
-        known |= set(best.variables)
+        ordered.append(best[1])
+        known |= set(variables_of(best[1]))
     return ordered
 
 
@@ -116,11 +121,29 @@ def join_patterns(
     carry: Sequence[str] = (),
     start: DataFrame | None = None,
     strategy: str = "auto",
+    tables: Sequence[PropertyTable] = (),
 ) -> DataFrame:
-    """All solutions of a pattern set, optionally extending the solutions in ``start``."""
+    """All solutions of a pattern set, optionally extending the solutions in ``start``.
+
+    Where property tables hold the predicates, the patterns about one subject are a single scan.
+    """
+    groups: list[list[Pattern]] = [[p] for p in patterns]
+    scans: dict[int, DataFrame] = {}
+    if tables and not carry:
+        whole, rest = stars(patterns)
+        groups = []
+        for star in whole:
+            found = scan_star(tables, star)
+            if found is None:
+                groups += [[p] for p in star]
+            else:
+                scans[id(star)] = found
+                groups.append(star)
+        groups += [[p] for p in rest]
     solutions = start
-    for pattern in join_order(patterns, variables(start) if start is not None else ()):
-        found = scan(triples, pattern, carry)
+    bound = variables(start) if start is not None else ()
+    for group in linked_order(groups, star_variables, lambda g: sum(p.bound for p in g) - len(g) + 1, bound):
+        found = scans[id(group)] if id(group) in scans else scan(triples, group[0], carry)
         solutions = found if solutions is None else join_solutions(solutions, found, carry, strategy)
     if solutions is None:
         raise ValueError("no pattern given")

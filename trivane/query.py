@@ -151,7 +151,7 @@ class Select:
             for p in parsed:
                 self._starred |= {var_name(t) for t in (p.s, p.o) if is_var(t)}
             keys = [] if args[1] else carry
-            return join_patterns(source.df, parsed, keys, solutions, self._strategy)
+            return join_patterns(source.df, parsed, keys, solutions, self._strategy, source.tables)
         if kind == "values":
             names, rows = args
             table = self._inline(store.spark, names, [tuple(v and store.prefixes.expand(v) for v in r) for r in rows])

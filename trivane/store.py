@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.operators.bgp import scan
+from trivane.operators.wide import PropertyTable
 from trivane.session import fits
 from trivane.terms import Pattern, Prefixes
 
@@ -28,12 +29,15 @@ class TripleStore:
     """Immutable handle: every change returns a new store.
 
     ``df`` has the columns ``s, p, o`` (text) and ``o_num`` (the object as a number, or NULL) and holds no
-    triple twice.  Use :meth:`of` for input that may.
+    triple twice.  Use :meth:`of` for input that may.  ``tables`` may hold the same triples in wide form.
     """
 
-    def __init__(self, df: DataFrame, prefixes: dict[str, str] | None = None) -> None:
+    def __init__(
+        self, df: DataFrame, prefixes: dict[str, str] | None = None, tables: Sequence[PropertyTable] = ()
+    ) -> None:
         self.df = with_number(df)
         self.prefixes = Prefixes(prefixes or {})
+        self.tables = list(tables)
 
     @classmethod
     def of(cls, df: DataFrame, prefixes: dict[str, str] | None = None) -> TripleStore:
@@ -68,7 +72,7 @@ class TripleStore:
         return TripleStore(df, self.prefixes)
 
     def with_prefixes(self, prefixes: dict[str, str]) -> TripleStore:
-        return TripleStore(self.df, self.prefixes.merged(prefixes))
+        return TripleStore(self.df, self.prefixes.merged(prefixes), self.tables)
 
     # -- changes -----------------------------------------------------------------------------------
 

@@ -11,11 +11,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivane.operators.wide import PropertyTable
 from trivane.store import TripleStore
 
 # Fixed values: (table, subject, [(predicate, object, number)]) with expressions both engines understand.
 # Order and line number alone are not unique in the given lines; part and price make them so.
-LINE = "concat('line/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', cast(round(l_extendedprice * 100) as bigint))"
+LINE = "concat('line/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', cast(floor(l_extendedprice * 100 + 0.5) as bigint))"
 
 
 def _money(column: str) -> tuple[str, str]:
@@ -136,8 +137,21 @@ def triples(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
+def property_tables(spark: SparkSession, sf_dir: str, *tables: str) -> list[PropertyTable]:
+    """The tables as what they are: one row per subject."""
+    out = []
+    for name, subject, entries in MAPPING:
+        if tables and name not in tables:
+            continue
+        columns = {p: (value.format(text="string"), number) for p, value, number in entries}
+        if name == "part":
+            columns[PARENT[1]] = (f"if(p_partkey > 1, {PARENT[2]}, null)", "cast(null as double)")
+        out.append(PropertyTable(table(spark, sf_dir, name), subject, columns))
+    return out
+
+
 def store(spark: SparkSession, sf_dir: str, *tables: str) -> TripleStore:
-    return TripleStore(triples(spark, sf_dir, *tables))
+    return TripleStore(triples(spark, sf_dir, *tables), tables=property_tables(spark, sf_dir, *tables))
 
 
 @cache
