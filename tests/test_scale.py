@@ -105,17 +105,39 @@ def test_patterns_read_only_what_they_bind(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in text
 
 
-def test_star_joins_shuffle_each_pattern_once(spark):
+def test_a_star_is_one_scan_or_one_shuffle_per_pattern(spark):
     from workloads.tables import store
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = Select("?o", "?s", "?p").where(("?o", "status", "?s"), ("?o", "priority", "?p"), ("?o", "total", "?t"))
-        assert plan(found.run(store(spark, SF, "orders"))).count("Exchange hashpartitioning") == 3
+        star = Select("?o", "?s", "?p").where(("?o", "status", "?s"), ("?o", "priority", "?p"), ("?o", "total", "?t"))
+        orders = store(spark, SF, "orders")
+        narrow = TripleStore(orders.df)
+        assert plan(star.run(orders)).count("Exchange") == 0 and plan(star.run(orders)).count("FileScan") == 1
+        assert plan(star.run(narrow)).count("Exchange hashpartitioning") == 3
+        assert tuples(star.run(orders)) == tuples(star.run(narrow))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_stars_over_tables_and_over_triples_agree(spark):
+    from trivane.terms import about
+    from workloads.tables import store
+
+    wide = store(spark, SF, "customer", "supplier", "nation", "part")
+    narrow = TripleStore(wide.df)
+    queries = [
+        Select("?x", "?b").where(*about("?x", ("partOf", "?n"), ("balance", "?b")), ("?n", "partOf", "region/1")),
+        Select("?x").where(*about("?x", ("name", "?a"), ("partOf", "nation/3"))),
+        Select("?p", "?o").where(("customer/7", "segment", "?s"), ("customer/7", "?p", "?o")),
+        Select("?x", "?y").where(("?x", "parent", "?y"), ("?y", "brand", "?b"), ("?x", "brand", "?b")),
+        Select("?a", "?b").where(("?x", "segment", "?a"), ("?x", "segment", "?b")),
+        Select("?x").where(("?x", "nothing", "?y")),
+    ]
+    for asked in queries:
+        assert tuples(asked.run(wide)) == tuples(asked.run(narrow))
+
+
 def test_adaptive_execution_splits_a_skewed_pattern_join(spark):
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivane.operators.bgp import join_order, join_solutions, scan, variables
+from trivane.operators.bgp import join_order, join_solutions, linked_order, scan, variables
+from trivane.operators.wide import PropertyTable, scan_star, star_variables, stars
 from trivane.session import StepLog, materialize
 from trivane.store import SPO, TripleStore, instantiate
 from trivane.terms import Pattern, Prefixes, is_var
@@ -62,13 +63,20 @@ def body_solutions(
     relation_of: Callable[[int], DataFrame],
     carry: Sequence[str] = (),
     background: DataFrame | None = None,
+    tables: Sequence[PropertyTable] = (),
+    given: set[int] | None = None,
 ) -> DataFrame:
     """Join the premises, premise ``i`` taken from ``relation_of(i)``.
 
+    ``given`` are the premises no rule can add facts for; where ``tables`` hold their predicates, those
+    about one subject are a single scan.
+
     With ``background`` a premise may match either a carried fact or a background fact, which belongs to
     every carried key.  Solutions then come in two kinds, keyed and unkeyed, and a join of the two kinds
     is keyed; only keyed solutions are returned.
     """
+    if tables and given and not carry and background is None:
+        return _body_over_tables(premises, relation_of, tables, given)
     order = join_order(premises)
     index = {id(p): i for i, p in enumerate(premises)}
     keyed = unkeyed = None
@@ -90,15 +98,42 @@ def body_solutions(
     return keyed
 
 
+def _body_over_tables(
+    premises: Sequence[Pattern],
+    relation_of: Callable[[int], DataFrame],
+    tables: Sequence[PropertyTable],
+    given: set[int],
+) -> DataFrame:
+    whole, rest = stars([premises[i] for i in sorted(given)])
+    parts: list[tuple[list[Pattern], DataFrame]] = []
+    alone = [premises[i] for i in range(len(premises)) if i not in given] + rest
+    for star in whole:
+        found = scan_star(tables, star)
+        if found is None:
+            alone += star
+        else:
+            parts.append((star, found))
+    index = {id(p): i for i, p in enumerate(premises)}
+    parts += [([p], scan(relation_of(index[id(p)]), p)) for p in alone]
+    ordered = linked_order(parts, lambda e: star_variables(e[0]), lambda e: sum(p.bound for p in e[0]) - len(e[0]) + 1)
+    return reduce(join_solutions, [df for _, df in ordered])
+
+
 def apply_rule(
     rule: Rule,
     relation_of: Callable[[int], DataFrame],
     carry: Sequence[str] = (),
     background: DataFrame | None = None,
     prefixes: Prefixes | None = None,
+    tables: Sequence[PropertyTable] = (),
+    derivable: set[str] | None = None,
 ) -> DataFrame:
     """Facts the rule concludes in one step, not yet made distinct."""
-    solutions = body_solutions(rule.premises(prefixes), relation_of, carry, background)
+    premises = rule.premises(prefixes)
+    given = set()
+    if derivable is not None:
+        given = {i for i, p in enumerate(premises) if not is_var(p.p) and p.p not in derivable}
+    solutions = body_solutions(premises, relation_of, carry, background, tables, given)
     for condition in rule.filters:
         solutions = solutions.filter(condition)
     if rule.transform is not None:
@@ -116,12 +151,14 @@ def infer(
     accept: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     background: DataFrame | None = None,
     prefixes: Prefixes | None = None,
+    tables: Sequence[PropertyTable] = (),
 ) -> DataFrame:
     """All facts the rules add to ``facts``: ``(carry, s, p, o, o_num)`` without the given ones.
 
     ``semi_naive`` joins only combinations that use a fact of the round before.  ``max_rounds`` bounds the
     depth of derivations; without it the loop ends when a round finds nothing, which it must, because
-    rules create no new terms.  ``accept`` may drop candidate facts of a round.
+    rules create no new terms.  ``accept`` may drop candidate facts of a round.  ``tables`` may hold
+    ``facts`` in wide form.
     """
     columns, key = [*carry, *FACT], [*carry, *SPO]
     premises = [p for r in rules for p in r.premises(prefixes)]
@@ -133,6 +170,10 @@ def infer(
     known_base = _with_predicates(base, head_predicates)
     if background is not None:
         fixed = _with_predicates(background.select(*FACT), head_predicates)
+
+    def step(rule: Rule, relation_of: Callable[[int], DataFrame]) -> DataFrame:
+        return apply_rule(rule, relation_of, carry, background, prefixes, tables, head_predicates)
+
     log = StepLog(base, "rules")
     delta: DataFrame | None = None
     rounds = 0
@@ -144,7 +185,7 @@ def infer(
         for rule in rules:
             body = rule.premises(prefixes)
             if delta is None or not semi_naive:
-                conclusions.append(apply_rule(rule, lambda i, facts=everything: facts, carry, background, prefixes))
+                conclusions.append(step(rule, lambda i, facts=everything: facts))
                 continue
             for position, premise in enumerate(body):
                 if head_predicates is not None and not is_var(premise.p) and premise.p not in head_predicates:
@@ -155,7 +196,7 @@ def infer(
                 def relation_of(i, at=position, new=delta, old=earlier, both=everything) -> DataFrame:
                     return new if i == at else old if i < at else both
 
-                conclusions.append(apply_rule(rule, relation_of, carry, background, prefixes))
+                conclusions.append(step(rule, relation_of))
         if not conclusions:
             break
         candidates = union_all([c.select(*columns) for c in conclusions]).dropDuplicates(key)
@@ -184,10 +225,11 @@ class RuleBase:
         self.rules.append(rule)
 
     def infer_naive(self) -> DataFrame:
-        return infer(self.store.df, self.rules, semi_naive=False, prefixes=self.store.prefixes)
+        store = self.store
+        return infer(store.df, self.rules, semi_naive=False, prefixes=store.prefixes, tables=store.tables)
 
     def infer_semi_naive(self) -> DataFrame:
-        return infer(self.store.df, self.rules, prefixes=self.store.prefixes)
+        return infer(self.store.df, self.rules, prefixes=self.store.prefixes, tables=self.store.tables)
 
     def closed_store(self) -> TripleStore:
         """The store with everything the rules add."""
@@ -224,7 +266,9 @@ class RuleBase:
         rules = self.goal_rules(parsed)
         facts = self.store.df.select(*FACT)
         if rules:
-            facts = facts.unionByName(infer(facts, rules, max_rounds=depth, prefixes=self.store.prefixes))
+            store = self.store
+            added = infer(facts, rules, max_rounds=depth, prefixes=store.prefixes, tables=store.tables)
+            facts = facts.unionByName(added)
         return TripleStore(facts).solutions((parsed.s, parsed.p, parsed.o)).distinct()
 
 
