@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trivane.operators.wide import scan_star
 from trivane.sources.feeds import to_triples
 from trivane.store import TripleStore
+from trivane.terms import Pattern, twin
 
 # Models of this module travel with the task, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,10 +41,15 @@ class LinearModel:
 def features(store: TripleStore, predicates: Mapping[str, str], key: str = "s") -> DataFrame:
     """One row per subject with a numeric column per predicate; subjects that lack one are left out.
 
-    A single pass and a single shuffle, whatever the number of features.  ``predicates`` maps column names
-    to predicates; of several values the largest is taken.
+    Over property tables this is a projection, otherwise a single pass and a single shuffle, whatever the
+    number of features.  ``predicates`` maps column names to predicates; of several values the largest is
+    taken.
     """
     wanted = {name: store.prefixes.expand(p) for name, p in predicates.items()}
+    star = scan_star(store.tables, [Pattern("?s", p, f"?{name}") for name, p in wanted.items()])
+    if star is not None:
+        rows = star.select(F.col("s").alias(key), *[F.col(twin(n)).alias(n) for n in wanted])
+        return rows.dropna(subset=list(wanted))
     rows = store.df.filter(F.col("p").isin(*wanted.values()))
     columns = [F.max(F.when(F.col("p") == p, F.col("o_num"))).alias(n) for n, p in wanted.items()]
     wide = rows.groupBy(F.col("s").alias(key)).agg(*columns)

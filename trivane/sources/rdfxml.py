@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.operators.skew import CHUNK_ROWS, chunked
+from trivane.sources.text import groups
 from trivane.store import SPO, with_number
 
 # Element shapes, the RDF namespace and the characters XML escapes.
@@ -51,12 +52,13 @@ def parse_rdfxml(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = records.filter(F.col("value").rlike(ABOUT)).select(
         xml_unescape(subject).alias("s"), F.explode(F.regexp_extract_all(inner, F.lit(CHILD), F.lit(0))).alias("child")
     )
-    resource = F.regexp_extract("child", RESOURCE, 1)
-    words = F.trim(F.regexp_extract("child", CHILD, 3))
+    found = found.withColumn("__parts", groups("child", f"(?s)^{CHILD}$", 1, 2, 3))
+    resource = F.regexp_extract(F.col("__parts")[1], RESOURCE, 1)
+    words = F.trim(F.col("__parts")[2])
     is_link = F.length(resource) > 0
     triples = found.select(
         "s",
-        F.regexp_extract("child", CHILD, 1).alias("p"),
+        F.col("__parts")[0].alias("p"),
         xml_unescape(F.when(is_link, resource).otherwise(words)).alias("o"),
         F.when(is_link, "iri").otherwise("literal").alias("o_kind"),
     ).filter(F.length("o") > 0)

@@ -26,6 +26,9 @@ BARE = r'[^\s;,"<>]+'
 STATEMENT_END = r"\.[ \t\r]*(?:#[^\n]*)?(?:\n|$)"
 PREFIX_LINE = r"@prefix\s+([^\s:]*):\s*<([^>]*)>"
 
+# Separates the groups of one match.
+MARK = "\x1f"
+
 # A prefix table is broadcast up to this many rows; a larger one is joined by shuffle with hot keys salted.
 PREFIX_ROWS = 100_000
 
@@ -46,23 +49,30 @@ def escape(column: Column) -> Column:
     return out
 
 
+def groups(column: Column | str, pattern: str, *order: int) -> Column:
+    """Groups of a pattern that covers the whole value, from one match; no match gives a shorter array.
+
+    The last group may hold any character.
+    """
+    return F.split(F.regexp_replace(column, pattern, MARK.join(f"${i}" for i in order)), MARK, len(order))
+
+
 def typed_terms(df: DataFrame, s: Column, p: Column, o: Column) -> DataFrame:
     """Triples from raw term text: brackets and quotes removed, literal parts in their own columns."""
     strip = lambda c: F.when(c.startswith("<"), F.substring(c, 2, F.length(c) - 2)).otherwise(c)
-    part = lambda i: F.nullif(F.regexp_extract("__o", LITERAL_PARTS, i), F.lit(""))
-    raw = df.select(s.alias("__s"), p.alias("__p"), o.alias("__o"), *[c for c in df.columns if c.startswith("__x_")])
+    raw = df.select(s.alias("__s"), p.alias("__p"), o.alias("__o"))
     literal = F.col("__o").startswith('"')
+    raw = raw.withColumn("__parts", F.when(literal, groups("__o", LITERAL_PARTS, 2, 3, 1)))
+    part = lambda i: F.nullif(F.col("__parts")[i], F.lit(""))
     kind = F.when(literal, "literal").when(F.col("__o").startswith("_:"), "bnode")
     kind = kind.when(F.col("__o").startswith("<") | F.col("__o").contains(":"), "iri").otherwise("literal")
-    value = F.when(literal, unescape(F.regexp_extract("__o", LITERAL_PARTS, 1))).otherwise(strip(F.col("__o")))
     out = raw.select(
         strip(F.col("__s")).alias("s"),
         strip(F.col("__p")).alias("p"),
-        value.alias("o"),
+        F.when(literal, unescape(F.col("__parts")[2])).otherwise(strip(F.col("__o"))).alias("o"),
         kind.alias("o_kind"),
-        F.when(literal, strip(part(2))).alias("o_datatype"),
-        F.when(literal, part(3)).alias("o_lang"),
-        *[c for c in raw.columns if c.startswith("__x_")],
+        strip(part(0)).alias("o_datatype"),
+        part(1).alias("o_lang"),
     )
     return out.withColumn("o_num", F.when(F.col("o_kind") == "literal", F.col("o").try_cast("double")))
 
@@ -77,9 +87,8 @@ def _content(lines: DataFrame) -> DataFrame:
 
 def parse_ntriples(lines: DataFrame) -> DataFrame:
     """Triples from a ``value`` column of lines."""
-    good = _content(lines).filter(F.col("value").rlike(NTRIPLES_LINE))
-    part = lambda i: F.regexp_extract("value", NTRIPLES_LINE, i)
-    return typed_terms(good, part(1), part(2), part(3))
+    parts = _content(lines).select(groups("value", NTRIPLES_LINE, 1, 2, 3).alias("t")).filter(F.size("t") == 3)
+    return typed_terms(parts, F.col("t")[0], F.col("t")[1], F.col("t")[2])
 
 
 def ntriples_rejects(lines: DataFrame) -> DataFrame:
@@ -126,9 +135,9 @@ def parse_turtle_lines(lines: DataFrame) -> DataFrame:
     """
     term = rf"{IRI}|{LITERAL}|{BARE}"
     shape = rf"^\s*({term})\s+({term})\s+({IRI}|{LITERAL}|[^\s;,\"<>]+?)\s*\.?\s*$"
-    kept = _content(lines).filter(~F.trim(F.col("value")).startswith("@") & F.col("value").rlike(shape))
-    part = lambda i: F.regexp_extract("value", shape, i)
-    return typed_terms(kept, part(1), part(2), part(3))
+    kept = _content(lines).filter(~F.trim(F.col("value")).startswith("@"))
+    parts = kept.select(groups("value", shape, 1, 2, 3).alias("t")).filter(F.size("t") == 3)
+    return typed_terms(parts, F.col("t")[0], F.col("t")[1], F.col("t")[2])
 
 
 def read_turtle_lines(spark: SparkSession, path: str) -> DataFrame:
