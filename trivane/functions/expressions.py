@@ -23,8 +23,16 @@ def num(name: str) -> Column:
     return F.col(twin(var_name(name)))
 
 
+# Fixed value: what the text of a number starts with.
+NUMBER_START = r"^\s*[-+]?(?:[0-9.]|[iI][nN][fF]|[nN][aA][nN])"
+
+
 def as_number(column: Column) -> Column:
-    return column.try_cast("double")
+    """The number a text stands for, or NULL.
+
+    A failed cast costs far more than a look at the first characters, and most terms are no numbers.
+    """
+    return F.when(column.rlike(NUMBER_START), column.try_cast("double"))
 
 
 def _literal_number(value) -> float | None:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivane.functions.expressions import as_number
 from trivane.operators.wide import PropertyTable, scan_star, star_variables, stars
 from trivane.session import fits
 from trivane.terms import TWIN, Pattern, is_var, twin, var_name
@@ -50,7 +51,7 @@ def scan(triples: DataFrame, pattern: Pattern, carry: Sequence[str] = ()) -> Dat
     columns = [F.col(c) for c in carry]
     for term, place in position.items():
         name = var_name(term)
-        number = F.col("o_num") if place == "o" else F.col(place).try_cast("double")
+        number = F.col("o_num") if place == "o" else as_number(F.col(place))
         columns += [F.col(place).alias(name), number.alias(twin(name))]
     return matched.select(*columns) if columns else matched.select()
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivane.functions.expressions import as_number
 from trivane.functions.registry import FunctionRegistry
 from trivane.operators.bgp import (
     compatible_join,
@@ -140,7 +141,7 @@ class Select:
 
     def _inline(self, spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
         table = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
-        table = table.select(*[c for n in names for c in (F.col(n), F.col(n).try_cast("double").alias(twin(n)))])
+        table = table.select(*[c for n in names for c in (F.col(n), as_number(F.col(n)).alias(twin(n)))])
         return F.broadcast(table) if len(rows) <= INLINE_ROWS else table
 
     def _step(self, solutions: DataFrame | None, store: TripleStore, clause: tuple, carry: list[str]):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivane.functions.expressions import as_number
 from trivane.operators.skew import hot_keys, salted_join
 from trivane.session import fits
 
@@ -42,6 +43,10 @@ def unescape(column: Column) -> Column:
     return F.replace(out, F.lit(mark), F.lit("\\"))
 
 
+def _plain(column: Column) -> Column:
+    return F.when(F.instr(column, "\\") > 0, unescape(column)).otherwise(column)
+
+
 def escape(column: Column) -> Column:
     out = column
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -69,12 +74,12 @@ def typed_terms(df: DataFrame, s: Column, p: Column, o: Column) -> DataFrame:
     out = raw.select(
         strip(F.col("__s")).alias("s"),
         strip(F.col("__p")).alias("p"),
-        F.when(literal, unescape(F.col("__parts")[2])).otherwise(strip(F.col("__o"))).alias("o"),
+        F.when(literal, _plain(F.col("__parts")[2])).otherwise(strip(F.col("__o"))).alias("o"),
         kind.alias("o_kind"),
         strip(part(0)).alias("o_datatype"),
         part(1).alias("o_lang"),
     )
-    return out.withColumn("o_num", F.when(F.col("o_kind") == "literal", F.col("o").try_cast("double")))
+    return out.withColumn("o_num", F.when(F.col("o_kind") == "literal", as_number(F.col("o"))))
 
 
 # -- N-Triples -----------------------------------------------------------------------------------------

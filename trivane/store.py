@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivane.functions.expressions import as_number
 from trivane.operators.bgp import scan
 from trivane.operators.wide import PropertyTable
 from trivane.session import fits
@@ -22,7 +23,7 @@ def with_number(df: DataFrame) -> DataFrame:
     """Add the numeric reading of the object unless the source supplies it."""
     if "o_num" in df.columns:
         return df
-    return df.withColumn("o_num", F.col("o").try_cast("double"))
+    return df.withColumn("o_num", as_number(F.col("o")))
 
 
 class TripleStore:
@@ -170,7 +171,7 @@ def instantiate(solutions: DataFrame, templates: Sequence[Pattern], carry: Seque
         if not is_var(term):
             return F.lit(term).try_cast("double")
         name = var_name(term)
-        return F.col(twin(name)) if twin(name) in solutions.columns else F.col(name).try_cast("double")
+        return F.col(twin(name)) if twin(name) in solutions.columns else as_number(F.col(name).cast("string"))
 
     entries = [
         F.struct(value(t.s).alias("s"), value(t.p).alias("p"), value(t.o).alias("o"), number(t.o).alias("o_num"))
