@@ -62,12 +62,20 @@ def groups(column: Column | str, pattern: str, *order: int) -> Column:
     return F.split(F.regexp_replace(column, pattern, MARK.join(f"${i}" for i in order)), MARK, len(order))
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly value that later filters and columns use, computed once per row.
+
+    A plain projection would be merged into the filter above it and evaluated again there.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def typed_terms(df: DataFrame, s: Column, p: Column, o: Column) -> DataFrame:
     """Triples from raw term text: brackets and quotes removed, literal parts in their own columns."""
     strip = lambda c: F.when(c.startswith("<"), F.substring(c, 2, F.length(c) - 2)).otherwise(c)
     raw = df.select(s.alias("__s"), p.alias("__p"), o.alias("__o"))
     literal = F.col("__o").startswith('"')
-    raw = raw.withColumn("__parts", F.when(literal, groups("__o", LITERAL_PARTS, 2, 3, 1)))
+    raw = once(raw, F.when(literal, groups("__o", LITERAL_PARTS, 2, 3, 1)), "__parts")
     part = lambda i: F.nullif(F.col("__parts")[i], F.lit(""))
     kind = F.when(literal, "literal").when(F.col("__o").startswith("_:"), "bnode")
     kind = kind.when(F.col("__o").startswith("<") | F.col("__o").contains(":"), "iri").otherwise("literal")
@@ -79,7 +87,7 @@ def typed_terms(df: DataFrame, s: Column, p: Column, o: Column) -> DataFrame:
         strip(part(0)).alias("o_datatype"),
         part(1).alias("o_lang"),
     )
-    return out.withColumn("o_num", F.when(F.col("o_kind") == "literal", as_number(F.col("o"))))
+    return once(out, F.when(F.col("o_kind") == "literal", as_number(F.col("o"))), "o_num")
 
 
 # -- N-Triples -----------------------------------------------------------------------------------------
@@ -92,7 +100,7 @@ def _content(lines: DataFrame) -> DataFrame:
 
 def parse_ntriples(lines: DataFrame) -> DataFrame:
     """Triples from a ``value`` column of lines."""
-    parts = _content(lines).select(groups("value", NTRIPLES_LINE, 1, 2, 3).alias("t")).filter(F.size("t") == 3)
+    parts = once(_content(lines), groups("value", NTRIPLES_LINE, 1, 2, 3), "t").filter(F.size("t") == 3)
     return typed_terms(parts, F.col("t")[0], F.col("t")[1], F.col("t")[2])
 
 
@@ -141,7 +149,7 @@ def parse_turtle_lines(lines: DataFrame) -> DataFrame:
     term = rf"{IRI}|{LITERAL}|{BARE}"
     shape = rf"^\s*({term})\s+({term})\s+({IRI}|{LITERAL}|[^\s;,\"<>]+?)\s*\.?\s*$"
     kept = _content(lines).filter(~F.trim(F.col("value")).startswith("@"))
-    parts = kept.select(groups("value", shape, 1, 2, 3).alias("t")).filter(F.size("t") == 3)
+    parts = once(kept, groups("value", shape, 1, 2, 3), "t").filter(F.size("t") == 3)
     return typed_terms(parts, F.col("t")[0], F.col("t")[1], F.col("t")[2])
 
 
