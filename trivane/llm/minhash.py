@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trivane.llm.links import components
 from trivane.llm.text import LOWER, NOT_SPACE, bounded_batches, chunks, lists, mix, span_hashes, word_spans
@@ -150,6 +151,50 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, how: Shingling) -> DataFr
     return common.filter(F.col("n") * 100 >= (F.col("both") - F.col("n")) * how.percent).select("a", "b").distinct()
 
 
+def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
+    """Members of buckets with several components, with their component and the bucket's largest; rows outside it."""
+    placed = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    shares = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
+    mixed = materialize(mixed.filter("parts > 1").select("band", F.col("most.component").alias("main")), "mixed")
+    open_ = materialize(placed.join(mixed, "band"), "open")
+    return open_, open_.filter("component != main").count()
+
+
+def _rare_pairs(open_: DataFrame, rows: DataFrame, how: Shingling) -> DataFrame:
+    """Pairs of open classes in different components that share one of their rarest shingles.
+
+    A set of n shingles that is similar to another shares at least ceil(percent * n / 100) of them with it, so the
+    first n - that + 1 shingles of both, in one common order, have one in common.  The order is by frequency.
+    """
+    placed = materialize(open_.select(F.col("rep").alias("id"), "component").distinct(), "placed")
+    each = materialize(
+        _sets(rows, placed.select("id"), how).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g")),
+        "shingles",
+    )
+    often = materialize(each.groupBy("g").agg(F.count("*").alias("c")), "often")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "g"))
+    first = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1
+    rare = each.distinct().join(often, "g").withColumn("rank", rank).filter(F.col("rank") <= first)
+    rare = materialize(rare.select("g", "id", "n").join(placed, "id"), "rare")
+    one, two = rare.alias("one"), rare.alias("two")
+    met = one.join(
+        two,
+        (F.col("one.g") == F.col("two.g"))
+        & (F.col("one.id") < F.col("two.id"))
+        & (F.col("one.component") != F.col("two.component"))
+        & _alike(F.col("one.n"), F.col("two.n"), how.percent),
+    )
+    return met.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
+
+
+def _extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    chained = joined.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return materialize(components(chained.union(links)), "components")
+
+
 def near_duplicates(
     documents: DataFrame, how: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -161,9 +206,11 @@ def near_duplicates(
 
     1. Documents with equal sets form a class, so copies cost nothing from here on.
     2. In each bucket of a band all classes are compared with the smallest one: linear in the bucket.
-    3. Where a bucket still holds several components, its remaining classes are compared across components, the ones
-       outside the bucket's largest component with all others.  Together with 2 this covers every candidate pair that
-       could still join two components; pairs already joined need no comparison.
+    3. Where a bucket still holds several components, the classes outside its largest one are compared with a class
+       of the largest one, another in every bucket and round, as long as that halves what is open.
+    4. What is still open is compared across components.  Two similar sets share one of their rarest shingles, so an
+       equi-join on those finds every pair that could still join two components, and texts that merely have a common
+       passage don't meet.  Pairs already joined need no comparison.
 
     Texts that are null, empty or without words have no shingles and link with nothing.  Rows with a null id are
     returned with a null component and kept.  Rows that share an id count as one document in links, and each row is
@@ -187,24 +234,23 @@ def near_duplicates(
     links = materialize(_confirmed(star, rows, how), "links")
     joined = materialize(components(links), "components")
 
-    placed = members.filter("size > 2").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = placed.select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    shares = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
-    mixed = materialize(mixed.filter("parts > 1").select("band", F.col("most.component").alias("main")), "mixed")
-    open_ = materialize(placed.join(mixed, "band"), "open")
-    one, two = open_.filter("component != main").alias("one"), open_.alias("two")
-    across = one.join(
-        two,
-        (F.col("one.band") == F.col("two.band"))
-        & (F.col("one.component") != F.col("two.component"))
-        & _alike(F.col("one.n"), F.col("two.n"), how.percent),
-    ).select(F.least("one.rep", "two.rep").alias("a"), F.greatest("one.rep", "two.rep").alias("b"))
-    across = materialize(across.distinct(), "pairs")
-    if not across.isEmpty():
-        more = _confirmed(across, rows, how)
-        chained = joined.select(F.col("component").alias("a"), F.col("id").alias("b"))
-        joined = materialize(components(chained.union(more)), "components")
+    members = members.filter("size > 2").select("band", "rep", "n")
+    open_, left = _open(members, joined)
+    while left:
+        own = open_.filter("component = main")
+        pivot = own.groupBy("band").agg(
+            F.min(F.struct(F.xxhash64("rep", "band", F.lit(left)).alias("h"), "rep", "n")).alias("pivot")
+        )
+        tried = open_.filter("component != main").join(pivot, "band")
+        tried = tried.filter(_alike(F.col("n"), F.col("pivot.n"), how.percent))
+        tried = tried.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
+        joined = _extended(joined, _confirmed(materialize(tried.distinct(), "pairs"), rows, how))
+        before = left
+        open_, left = _open(members, joined)
+        if left * 2 > before:
+            break
+    if left:
+        joined = _extended(joined, _confirmed(materialize(_rare_pairs(open_, rows, how), "pairs"), rows, how))
 
     found = classes.select("k1", "k2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     found = materialize(found.select("k1", "k2", F.coalesce("component", "rep").alias("component")), "found")

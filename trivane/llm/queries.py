@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivane.llm import secrets, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +17,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of every document, scanned by content against a ledger that starts empty."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.Ledger(spark), "documents")
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    counts = {
+        f"n_{rule.kind}": F.size(F.filter("spans", lambda s, kind=rule.kind: s["kind"] == kind)).cast("bigint")
+        for rule in secrets.BASE
+    }
+    return found.select(
+        "doc_id",
+        *[count.alias(name) for name, count in counts.items()],
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Shingling(words=4))
 
 
-QUERIES: dict[str, Query] = {"op4_minhash": op4_minhash}
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op2_secrets": op2_secrets,
+    "op4_minhash": op4_minhash,
+    "op8_winnowing": op8_winnowing,
+}
 ORACLES: dict[str, str] = {}
