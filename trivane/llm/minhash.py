@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trivane.llm.links import components
 from trivane.llm.text import LOWER, NOT_SPACE, bounded_batches, chunks, lists, mix, span_hashes, word_spans
@@ -22,6 +21,9 @@ from trivane.session import materialize
 
 PIECE = 2048
 SMALL_BYTES = 8 << 20
+SMALL_BUCKET = 6
+BLOCK = 256
+COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -156,37 +158,83 @@ def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
     placed = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"))
-    mixed = materialize(mixed.filter("parts > 1").select("band", F.col("most.component").alias("main")), "mixed")
+    mixed = shares.groupBy("band").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("m"))
+    mixed = materialize(mixed.filter("parts > 1").select("band", F.col("most.component").alias("main"), "m"), "mixed")
     open_ = materialize(placed.join(mixed, "band"), "open")
     return open_, open_.filter("component != main").count()
 
 
-def _rare_pairs(open_: DataFrame, rows: DataFrame, how: Shingling) -> DataFrame:
-    """Pairs of open classes in different components that share one of their rarest shingles.
-
-    A set of n shingles that is similar to another shares at least ceil(percent * n / 100) of them with it, so the
-    first n - that + 1 shingles of both, in one common order, have one in common.  The order is by frequency.
-    """
-    placed = materialize(open_.select(F.col("rep").alias("id"), "component").distinct(), "placed")
-    each = materialize(
-        _sets(rows, placed.select("id"), how).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g")),
-        "shingles",
-    )
-    often = materialize(each.groupBy("g").agg(F.count("*").alias("c")), "often")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "g"))
-    first = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1
-    rare = each.distinct().join(often, "g").withColumn("rank", rank).filter(F.col("rank") <= first)
-    rare = materialize(rare.select("g", "id", "n").join(placed, "id"), "rare")
-    one, two = rare.alias("one"), rare.alias("two")
+def _small_pairs(open_: DataFrame, how: Shingling) -> DataFrame:
+    """Pairs across components in buckets of at most SMALL_BUCKET members: a bounded number per member."""
+    small = open_.filter(F.col("m") <= SMALL_BUCKET)
+    one, two = small.filter("component != main").alias("one"), small.alias("two")
     met = one.join(
         two,
-        (F.col("one.g") == F.col("two.g"))
-        & (F.col("one.id") < F.col("two.id"))
+        (F.col("one.band") == F.col("two.band"))
         & (F.col("one.component") != F.col("two.component"))
         & _alike(F.col("one.n"), F.col("two.n"), how.percent),
     )
-    return met.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
+    return met.select(F.least("one.rep", "two.rep").alias("a"), F.greatest("one.rep", "two.rep").alias("b")).distinct()
+
+
+def _common(left: np.ndarray, right: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets in ``left`` with those in ``right``, some columns at a time."""
+    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    place = np.full(len(starts) - 1, -1)
+    place[left] = np.arange(len(left))
+    place_r = np.full(len(starts) - 1, -1)
+    place_r[right] = np.arange(len(right))
+    column = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    column, rows = column[order], rows[order]
+    found = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        c, r = column[lo:hi] - at, rows[lo:hi]
+        x[place[r][place[r] >= 0], c[place[r] >= 0]] = 1
+        y[place_r[r][place_r[r] >= 0], c[place_r[r] >= 0]] = 1
+        found += x @ y.T
+    return found
+
+
+def _block_links(open_: DataFrame, rows: DataFrame, how: Shingling) -> DataFrame:
+    """Links across components in larger buckets.
+
+    A bucket is dealt into blocks of about BLOCK members.  Each block of members outside the largest component meets
+    each block in one group of bounded size, whose full sets are compared there; only links leave the group.
+    """
+    big = open_.filter(F.col("m") > SMALL_BUCKET)
+    ids = materialize(big.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = materialize(_sets(rows, ids, how).withColumnRenamed("id", "rep"), "sets")
+    held = big.join(sets, "rep").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    all_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = ["band", "rep", "component", "shingles", "i", "j", "side"]
+    first = held.filter("component != main").withColumns({"i": F.col("own"), "side": F.lit(0)}).withColumn("j", all_)
+    second = held.withColumns({"j": F.col("own"), "side": F.lit(1)}).withColumn("i", all_)
+    percent = how.percent
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        rep, part = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array(rep[:0]), "b": pa.array(rep[:0])})
+        packed = table.column("shingles").chunk(0)
+        starts = packed.offsets.to_numpy().astype(np.int64)
+        values = packed.values.to_numpy()[starts[0] : starts[-1]]
+        both = _common(left, right, starts - starts[0], values)
+        size = np.diff(starts)
+        union = size[left][:, None] + size[right][None, :] - both
+        x, y = np.nonzero((both * 100 >= union * percent) & (part[left][:, None] != part[right][None, :]))
+        one, two = rep[left[x]], rep[right[y]]
+        return pa.table({"a": pa.array(np.minimum(one, two)), "b": pa.array(np.maximum(one, two))})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    grouped = first.select(cols).union(second.select(cols)).groupBy("band", "i", "j")
+    return grouped.applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _extended(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,9 +256,9 @@ def near_duplicates(
     2. In each bucket of a band all classes are compared with the smallest one: linear in the bucket.
     3. Where a bucket still holds several components, the classes outside its largest one are compared with a class
        of the largest one, another in every bucket and round, as long as that halves what is open.
-    4. What is still open is compared across components.  Two similar sets share one of their rarest shingles, so an
-       equi-join on those finds every pair that could still join two components, and texts that merely have a common
-       passage don't meet.  Pairs already joined need no comparison.
+    4. What is still open is compared across components, the classes outside a bucket's largest component with all
+       others: small buckets by a join, larger ones in blocks, so no task gets a whole bucket and no pair but a link
+       leaves a block.  This covers every candidate pair that could still join two components.
 
     Texts that are null, empty or without words have no shingles and link with nothing.  Rows with a null id are
     returned with a null component and kept.  Rows that share an id count as one document in links, and each row is
@@ -250,7 +298,8 @@ def near_duplicates(
         if left * 2 > before:
             break
     if left:
-        joined = _extended(joined, _confirmed(materialize(_rare_pairs(open_, rows, how), "pairs"), rows, how))
+        small = _confirmed(materialize(_small_pairs(open_, how), "pairs"), rows, how)
+        joined = _extended(joined, small.union(_block_links(open_, rows, how)))
 
     found = classes.select("k1", "k2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     found = materialize(found.select("k1", "k2", F.coalesce("component", "rep").alias("component")), "found")

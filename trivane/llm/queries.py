@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import secrets, winnow
+from trivane.llm import langid, pieces, secrets, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,6 +40,22 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Shingling(words=4))
 
 
+def _remainder(number: int):
+    return F.crc32(F.col("doc_id").cast("string")) % number
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from the rows that are not held out, predicted for all."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    languages, table = langid.train(documents.filter(_remainder(5) != 0), PIECES)
+    found = langid.identify(documents, languages, table, PIECES)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(_table(spark, sf_dir, "documents"), PIECES, with_ids=False)
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,9 +68,18 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
     "op2_secrets": op2_secrets,
     "op4_minhash": op4_minhash,
+    "op6_language": op6_language,
+    "op7_pieces": op7_pieces,
     "op8_winnowing": op8_winnowing,
 }
 ORACLES: dict[str, str] = {}

@@ -55,12 +55,21 @@ class Powers:
         return cls.up[:n], cls.down[:n]
 
 
+class SpanHasher:
+    """64-bit hashes of spans of ``values``; equal spans have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self._down = Powers.of(len(values) + 1)
+        self._sums = np.zeros(len(values) + 1, np.uint64)
+        terms = (values.astype(np.uint64) + np.uint64(1)) * up[: len(values)]
+        np.cumsum(terms, out=self._sums[1:], dtype=np.uint64)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``values``; equal spans have equal hashes wherever they stand."""
-    up, down = Powers.of(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:], dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return SpanHasher(values).of(starts, ends)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
