@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import langid, pieces, secrets, winnow
+from trivane.llm import chat, langid, pieces, quality, secrets, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
+from trivane.llm.neighbours import near_vectors
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = chat.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,28 +22,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(number: int):
+    return F.crc32(F.col("doc_id").cast("string")) % number
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality learned from labelled rows that are not held out, scored for all."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels.filter(_remainder(3) != 1), F.col("quality"))
+    found = quality.score(documents, model)
+    return found.select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and added spans of every document, scanned by content against a ledger that starts empty."""
     found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.Ledger(spark), "documents")
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
-    counts = {
-        f"n_{rule.kind}": F.size(F.filter("spans", lambda s, kind=rule.kind: s["kind"] == kind)).cast("bigint")
-        for rule in secrets.BASE
-    }
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *[count.alias(name) for name, count in counts.items()],
+        *[number(rule.kind) for rule in secrets.BASE],
         F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
         secrets.spelled(F.col("spans")).alias("spans"),
     )
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Shingling(words=4))
 
 
-def _remainder(number: int):
-    return F.crc32(F.col("doc_id").cast("string")) % number
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back from the ids."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    kinds = {f.name: f.dataType for f in turns.schema.fields}
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id int, turn int, role string, text string")
+    extra = extra.select(*[F.col(c).cast(kind) for c, kind in kinds.items()])
+    return chat.read_chats(chat.format_chats(turns.union(extra), RANKS), RANKS)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +102,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
+    "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
+    "op3_neighbours": op3_neighbours,
     "op4_minhash": op4_minhash,
+    "op5_chat": op5_chat,
     "op6_language": op6_language,
     "op7_pieces": op7_pieces,
     "op8_winnowing": op8_winnowing,
