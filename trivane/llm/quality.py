@@ -38,8 +38,8 @@ def features(column: pa.Array, how: Settings) -> Iterator[tuple[int, np.ndarray,
     """For runs of texts: (index of the first, number of features of each, buckets in order of the texts).
 
     Words are runs without white space; a word that repeats the one before counts for one shared bucket too, the
-    two-word pattern that no hash of the words themselves could share between texts.  Character n-grams are n bytes with no white space between the outer two, so
-    they see where a word begins and ends.
+    two-word pattern that no hash of the words themselves could share between texts.  Character n-grams are n bytes
+    with no white space between the outer two, so they see where a word begins and ends.
     """
     for first, data, offsets in chunks(column):
         solid = NOT_SPACE[data]

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, langid, pieces, quality, secrets, winnow
+from trivane.llm import chat, langid, pieces, quality, rollup, secrets, tokenfile, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
 from trivane.llm.neighbours import near_vectors
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = chat.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+TOKENS = tokenfile.Tokens(public_tokenizers.path("word_bpe_49k.json"), 2)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +95,20 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), TOKENS)
+    return tokenfile.read_tokens(manifest, TOKENS)
+
+
+def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after one batch with all documents; the second commit of the same batch must change nothing."""
+    kept = rollup.Rollup(spark)
+    counts = rollup.counted(_table(spark, sf_dir, "documents"), RANKS, "byte_bpe_50k")
+    kept.commit("documents", counts)
+    kept.commit("documents", counts)
+    return kept.totals()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -110,5 +125,7 @@ QUERIES: dict[str, Query] = {
     "op6_language": op6_language,
     "op7_pieces": op7_pieces,
     "op8_winnowing": op8_winnowing,
+    "op9_tokens": op9_tokens,
+    "op10_counts": op10_counts,
 }
 ORACLES: dict[str, str] = {}
