@@ -26,7 +26,7 @@ class Settings:
     buckets: int = 1 << 18
     width: int = 12
     grams: tuple[int, ...] = (2, 3, 4)
-    epochs: int = 12
+    steps: int = 4500
     rate: float = 0.4
     batch: int = 16
     sample: int = 3000
@@ -90,33 +90,32 @@ def _descend(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, how:
     vectors = random.uniform(-1, 1, (how.buckets, how.width)).astype(np.float32) / how.width
     output, bias = np.zeros((how.width, 2), np.float32), np.zeros(2, np.float32)
     weight = len(labels) / (2 * np.maximum(1, np.bincount(labels, minlength=2)))[labels]
-    steps, done = how.epochs * max(1, -(-len(rows) // how.batch)), 0
-    for _ in range(how.epochs):
-        order = random.permutation(len(rows))
-        for at in range(0, len(order), how.batch):
-            picked = order[at : at + how.batch]
-            rate = how.rate * (1 - done / steps)
-            done += 1
-            sizes = np.array([len(rows[i][0]) for i in picked])
-            buckets = np.concatenate([rows[i][0] for i in picked])
-            shares = np.concatenate([rows[i][1] for i in picked])[:, None]
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            sums = np.zeros((len(buckets) + 1, how.width))
-            np.cumsum(vectors[buckets] * shares, axis=0, out=sums[1:])
-            hidden = sums[bounds[1:]] - sums[bounds[:-1]]
-            logits = hidden @ output + bias
-            logits -= logits.max(axis=1, keepdims=True)
-            grad = np.exp(logits)
-            grad /= grad.sum(axis=1, keepdims=True)
-            grad[np.arange(len(picked)), labels[picked]] -= 1
-            grad *= weight[picked][:, None]
-            back = grad @ output.T
-            output -= (rate * hidden.T @ grad / len(picked)).astype(np.float32)
-            bias -= (rate * grad.mean(axis=0)).astype(np.float32)
-            change = np.repeat(back, sizes, axis=0) * shares
-            order_ = np.argsort(buckets, kind="stable")
-            unique, begin = np.unique(buckets[order_], return_index=True)
-            vectors[unique] -= (rate * np.add.reduceat(change[order_], begin, axis=0)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for done in range(how.steps):
+        if not len(order):
+            order = random.permutation(len(rows))
+        picked, order = order[: how.batch], order[how.batch :]
+        rate = how.rate * (1 - done / how.steps)
+        sizes = np.array([len(rows[i][0]) for i in picked])
+        buckets = np.concatenate([rows[i][0] for i in picked])
+        shares = np.concatenate([rows[i][1] for i in picked])[:, None]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        sums = np.zeros((len(buckets) + 1, how.width))
+        np.cumsum(vectors[buckets] * shares, axis=0, out=sums[1:])
+        hidden = sums[bounds[1:]] - sums[bounds[:-1]]
+        logits = hidden @ output + bias
+        logits -= logits.max(axis=1, keepdims=True)
+        grad = np.exp(logits)
+        grad /= grad.sum(axis=1, keepdims=True)
+        grad[np.arange(len(picked)), labels[picked]] -= 1
+        grad *= weight[picked][:, None]
+        back = grad @ output.T
+        output -= (rate * hidden.T @ grad / len(picked)).astype(np.float32)
+        bias -= (rate * grad.mean(axis=0)).astype(np.float32)
+        change = np.repeat(back, sizes, axis=0) * shares
+        order_ = np.argsort(buckets, kind="stable")
+        unique, begin = np.unique(buckets[order_], return_index=True)
+        vectors[unique] -= (rate * np.add.reduceat(change[order_], begin, axis=0)).astype(np.float32)
     return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
