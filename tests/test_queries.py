@@ -1,9 +1,4 @@
-"""Registered queries at the smallest scale against their SQL, and no plan with a product of two inputs.
-
-A choice from every family by default; ``ALL_QUERIES=1`` runs them all, and so does ``tools.check`` at sf0.01.
-"""
-
-import os
+"""All registered queries at the smallest scale against their SQL, and no plan with a product of two inputs."""
 
 import duckdb
 import pytest
@@ -13,13 +8,7 @@ from workloads import load
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load()
-CHOICE = """
-    region_revenue bgp_triangle bgp_cross bgp_self_loop filter_not_error filter_var_var values_undef subselect
-    subselect_aggregate bind_udf agg_multi order_limit qb_contains qb_custom_python qb_group_predicate qb_join_predicate
-    qb_join_theta qb_offset triple_insert dict_encode store_profile nt_documents n3_ingest rdfxml_render kg_cyclic
-    kg_repair_single kg_certainty rsp_on_change rsp_istream rsp_window_rule qb_stream_topk rsp_late_batch ml_predict_rule
-""".split()
-NAMES = list(QUERIES) if os.environ.get("ALL_QUERIES") else CHOICE
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -74,16 +74,48 @@ def test_unbound_head_variable_is_refused(make_store):
         RuleBase(make_store([("a", "p", "b")]), [Rule([("?x", "p", "?y")], [("?x", "q", "?nope")])]).infer_semi_naive()
 
 
-def test_proofs_are_ten_applications_deep(make_store):
+def test_proofs_of_any_depth(make_store):
     chain = make_store([(f"n{i:02}", "e", f"n{i + 1:02}") for i in range(15)])
     linear = [CLOSURE[0], Rule([("?x", "e", "?y"), ("?y", "r", "?z")], [("?x", "r", "?z")])]
     other = Rule([("?x", "e", "?y")], [("?x", "unrelated", "?y")])
     base = RuleBase(chain, [*linear, other])
     assert base.goal_rules(base.rules[0].conclusions()[0]) == linear
-    assert [r[0] for r in tuples(base.prove(("n00", "r", "?y")))] == [f"n{i:02}" for i in range(1, 11)]
+    assert [r[0] for r in tuples(base.prove(("n00", "r", "?y")))] == [f"n{i:02}" for i in range(1, 16)]
+    assert [r[0] for r in tuples(base.prove(("n00", "r", "?y"), depth=10))] == [f"n{i:02}" for i in range(1, 11)]
     assert len(tuples(base.prove(("?x", "e", "?y")))) == 15
 
 
+def test_rules_that_differ_in_their_filter(make_store):
+    data = make_store([("a", "size", "3"), ("b", "size", "8")])
+    low = Rule([("?x", "size", "?n")], [("?x", "kind", "odd")], [compare("?n", "<", 5)])
+    high = Rule([("?x", "size", "?n")], [("?x", "kind", "odd")], [compare("?n", ">", 7)])
+    assert tuples(RuleBase(data, [low, high]).prove(("?x", "kind", "odd"))) == [("a",), ("b",)]
+
+
+def test_recursion_through_a_transform_is_refused(make_store):
+    data = make_store([("a", "n", "1")])
+    grow = Rule([("?x", "n", "?v")], [("?x", "n", "?v")], transform=lambda df: df)
+    with pytest.raises(ValueError, match="need not end"):
+        RuleBase(data, [grow]).infer_semi_naive()
+
+
+def test_three_atom_denials_on_unlinked_atoms(make_store):
+    """Without the middle atom the other two share no variable."""
+    facts = [("o1", "status", "F"), ("c1", "balance", "-5"), ("o1", "placedBy", "c1"), ("c2", "balance", "9"), ("o2", "status", "F")]
+    data = make_store(facts)
+    denial = Denial(
+        [("?o", "status", "F"), ("?c", "balance", "?b"), ("?o", "placedBy", "?c")], [compare("?b", "<", 0)]
+    )
+    left = tuples(repair(data.df, [denial]), "s", "p", "o")
+    assert len(left) == 4 and not is_violated(make_store(left).df, [denial])
+
+
+def test_a_fact_that_matches_two_atoms_makes_a_smaller_conflict(make_store):
+    data = make_store([("a", "p", "1"), ("a", "q", "9"), ("a", "r", "5")])
+    denial = Denial([("?x", "p", "?y"), ("?x", "?r", "?z"), ("?x", "q", "?w")])
+    assert tuples(consistent_core(data.df, [denial]), "s", "p", "o") == [("a", "r", "5")]
+
+
 def test_highest_reading_per_alerted_place(make_store):
     data = make_store(
         [("r1", "room", "kitchen"), ("r1", "temp", "85"), ("r2", "room", "kitchen"), ("r2", "temp", "95"), ("r2", "temp", "abc"),

@@ -171,6 +171,6 @@ def test_broadcast_is_dropped_beyond_its_bound(make_store, monkeypatch):
     data = make_store([("a", "p", "b"), ("b", "q", "c")])
     asked = Select("?x").where(("?x", "p", "?y"), ("?y", "q", "?z")).strategy("broadcast")
     assert tuples(asked.run(data)) == [("a",)]
-    monkeypatch.setattr(bgp, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(bgp, "BROADCAST_BYTES", 0)
     assert "broadcast" not in str(asked.run(data)._jdf.queryExecution().analyzed()).lower()
     assert tuples(asked.run(data)) == [("a",)]

@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 from trivane.functions.expressions import as_number
 from trivane.operators.wide import PropertyTable, scan_star, star_variables, stars
-from trivane.session import fits
 from trivane.terms import TWIN, Pattern, is_var, twin, var_name
 
-# A component with no variable in common with the rest is attached only up to this many rows.
-ATTACH_ROWS = 10_000
-# A side is broadcast on request only when it has at most this many rows.
-BROADCAST_ROWS = 1_000_000
+# A side is broadcast on request only when its text and row overhead are counted below this.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
 
 _HINTS = {"merge": "merge", "shuffle_hash": "shuffle_hash"}
 
@@ -91,29 +89,33 @@ def join_solutions(
         right = right.hint(_HINTS[strategy])
     elif strategy == "broadcast":
         # Beyond the bound the join stays an ordinary shuffle join.
-        right = F.broadcast(right) if fits(right, BROADCAST_ROWS) else right
+        right = F.broadcast(right) if weight(right) <= BROADCAST_BYTES else right
     elif strategy != "auto":
         raise ValueError(f"unknown join strategy {strategy!r}")
     return left.join(right, keys, "inner")
 
 
+def weight(df: DataFrame) -> int:
+    """Bytes of the text in a relation, plus an overhead per row."""
+    text = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    each = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in text], F.lit(ROW_BYTES).cast("bigint"))
+    return df.select(each.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def attach(left: DataFrame, right: DataFrame) -> DataFrame:
     """Extend every row of one side by a component that shares no variable with it.
 
-    The result is a product by definition, so one side has to be small: its rows are counted up to
-    ``ATTACH_ROWS``, folded into one array value and unfolded per row of the other side.
+    The result is a product by definition.  The rows of the left side are dealt over tasks and the right side is
+    repeated for each of them, an equi-join of any size in which neither side passes through one place.
     """
     if not right.columns:
         return left.filter(right.exists())
     if not left.columns:
         return right.filter(left.exists())
-    if not fits(right, ATTACH_ROWS):
-        left, right = right, left
-        if not fits(right, ATTACH_ROWS):
-            raise ValueError("the pattern set falls apart into unrelated parts that are both large")
-    folded = right.agg(F.collect_list(F.struct(*right.columns)).alias("rows")).scalar()
-    extended = left.withColumn("__attached", F.explode(folded))
-    return extended.select(*left.columns, *[F.col(f"__attached.{c}").alias(c) for c in right.columns])
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("__task", F.pmod(F.xxhash64(*left.columns), F.lit(tasks)).cast("int"))
+    repeated = right.withColumn("__task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return dealt.join(repeated, "__task").select(*left.columns, *right.columns)
 
 
 def join_patterns(

@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivane.operators.bgp import join_patterns, join_solutions, scan, variables
+from trivane.functions.expressions import as_number
+from trivane.operators.bgp import join_patterns, join_solutions, linked_order, scan, variables
 from trivane.plans.rules import FACT, Rule, infer, union_all
 from trivane.session import StepLog, materialize
 from trivane.store import SPO, TripleStore
@@ -59,8 +60,29 @@ def _atom(facts: DataFrame, atom: Pattern, name: str) -> DataFrame:
 
 def _others(facts: DataFrame, atoms: Sequence[Pattern], skip: int) -> DataFrame:
     """Joint solutions of all atoms but one, with each matched fact's rank as ``__rank<i>``."""
-    parts = [_atom(facts, a, f"{RANK}{i}") for i, a in enumerate(atoms) if i != skip]
-    return reduce(join_solutions, parts)
+    return _matched(None, facts, [(i, a) for i, a in enumerate(atoms) if i != skip])
+
+
+def _matched(first: DataFrame | None, facts: DataFrame, atoms: Sequence[tuple[int, Pattern]]) -> DataFrame:
+    """Joint solutions of numbered atoms, starting from ``first``; linked atoms come one after another."""
+    known = variables(first) if first is not None else ()
+    ordered = linked_order(atoms, lambda e: e[1].variables, lambda e: e[1].bound, known)
+    parts = [_atom(facts, a, f"{RANK}{i}") for i, a in ordered]
+    return reduce(join_solutions, parts if first is None else [first, *parts])
+
+
+def _linked(atoms: Sequence[Pattern]) -> bool:
+    """Whether the atoms hang together by variables."""
+    if not atoms:
+        return True
+    known, rest = set(atoms[0].variables), list(atoms[1:])
+    while rest:
+        near = next((a for a in rest if known & set(a.variables)), None)
+        if near is None:
+            return False
+        known |= set(near.variables)
+        rest.remove(near)
+    return True
 
 
 def _semi(mine: DataFrame, others: DataFrame, denial: Denial, extra: Column) -> DataFrame:
@@ -80,9 +102,15 @@ def _latest_in_conflict(mine: DataFrame, alive: DataFrame, denials: Sequence[Den
             continue  # removed beforehand
         for i, atom in enumerate(atoms):
             candidates = _atom(mine, atom, RANK)
-            others = _others(alive, atoms, i)
             ranks = [F.col(f"{RANK}{j}") for j in range(len(atoms)) if j != i]
             latest = F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
+            if not _linked([a for j, a in enumerate(atoms) if j != i]):
+                # Only this atom holds the others together, so the search for partners starts from its facts.
+                met = _matched(candidates, alive, [(j, a) for j, a in enumerate(atoms) if j != i])
+                met = reduce(DataFrame.filter, denial.filters, met)
+                parts.append(met.filter(latest <= F.col(RANK)).select(RANK))
+                continue
+            others = _others(alive, atoms, i)
             shared = [v for v in variables(candidates) if v in set(variables(others))]
             if not denial.filters and shared:
                 # Without filters only the earliest partner per key matters: one row per key to join.
@@ -100,22 +128,32 @@ def _alone(facts: DataFrame, denials: Sequence[Denial], prefixes) -> DataFrame:
     """Facts that break a constraint all by themselves: they are in no repair."""
     parts = []
     for denial in denials:
-        atoms = denial.atoms(prefixes)
-        found = _atom(facts, atoms[0], RANK)
-        for atom in atoms[1:]:
-            # The same fact must match every atom, so the rank is a join key of the match.
-            found = join_solutions(found, _atom(facts, atom, RANK), [RANK])
-        for condition in denial.filters:
-            found = found.filter(condition)
+        # One fact matches every atom, so all constants and variables are about its three positions: one filter.
+        places: dict[str, str] = {}
+        tests, fixed, possible = [], {}, True
+        for place, term in [pair for atom in denial.atoms(prefixes) for pair in atom.terms()]:
+            if term.startswith("?"):
+                if places.setdefault(term[1:], place) != place:
+                    tests.append(F.col(places[term[1:]]) == F.col(place))
+            elif fixed.setdefault(place, term) != term:
+                possible = False
+        if not possible:
+            continue
+        tests += [F.col(place) == F.lit(term) for place, term in fixed.items()]
+        found = reduce(DataFrame.filter, tests, facts)
+        bound = [F.col(place).alias(name) for name, place in places.items()]
+        bound += [(F.col("o_num") if place == "o" else as_number(F.col(place))).alias(twin(n)) for n, place in places.items()]
+        found = reduce(DataFrame.filter, denial.filters, found.select(RANK, *bound))
         parts.append(found.select(RANK))
-    return union_all(parts).distinct()
+    return union_all(parts).distinct() if parts else facts.select(RANK).limit(0)
 
 
 def _in_conflict(facts: DataFrame, denials: Sequence[Denial], prefixes) -> DataFrame:
     """Ranks of facts that take part in a minimal conflict of two or more facts.
 
-    ``facts`` holds no fact that is inconsistent alone.  A conflict of three or more facts counts only if
-    none of its pairs is a conflict already.
+    ``facts`` holds no fact that is inconsistent alone.  One fact may match several atoms, so the matches of a denial
+    of three or more atoms are taken as sets; a set counts only if no pair in it is a conflict of a two-atom denial
+    and no smaller set in it is a conflict itself.
     """
     pairs = [d for d in denials if len(d.atoms(prefixes)) == 2]
     parts = []
@@ -133,20 +171,35 @@ def _in_conflict(facts: DataFrame, denials: Sequence[Denial], prefixes) -> DataF
                     others = others.withColumn(twin(v), F.lit(None).cast("double"))
                 differs = (F.col("__low") != F.col(RANK)) | (F.col("__high") != F.col(RANK))
             parts.append(_semi(mine, others, denial, differs).select(RANK))
+    sets = []
     for denial in denials:
         atoms = denial.atoms(prefixes)
         if len(atoms) < 3:
             continue
-        matches = reduce(join_solutions, [_atom(facts, a, f"{RANK}{i}") for i, a in enumerate(atoms)])
+        matches = _matched(None, facts, list(enumerate(atoms)))
         for condition in denial.filters:
             matches = matches.filter(condition)
         members = matches.select(*[f"{RANK}{i}" for i in range(len(atoms))])
         for pair in pairs:
             members = _without_pairs(members, len(atoms), pair, prefixes)
-        parts.append(members.select(F.explode(F.array(*[f"{RANK}{i}" for i in range(len(atoms))])).alias(RANK)))
+        ranks = F.array(*[f"{RANK}{i}" for i in range(len(atoms))])
+        sets.append(members.select(F.array_sort(F.array_distinct(ranks)).alias("facts")))
+    if sets:
+        parts.append(_smallest(materialize(union_all(sets).distinct(), "conflicts"), denials, prefixes))
     return union_all(parts).distinct() if parts else facts.select(RANK).limit(0)
 
 
+def _smallest(sets: DataFrame, denials: Sequence[Denial], prefixes) -> DataFrame:
+    """Ranks in the sets that hold no other set; a set is a sorted array of two or more ranks."""
+    longest = max(len(d.atoms(prefixes)) for d in denials)
+    picks = F.expr("sequence(1, shiftleft(1, size(facts)) - 2)")
+    chosen = F.transform(picks, lambda mask: F.filter("facts", lambda _, i: F.getbit(mask, i) == 1))
+    wide = sets.filter(F.size("facts").between(3, longest))
+    inner = wide.select("facts", F.explode(F.filter(chosen, lambda x: F.size(x) > 1)).alias("part"))
+    held = inner.join(sets.select(F.col("facts").alias("part")), "part", "left_semi").select("facts").distinct()
+    return sets.join(held, "facts", "left_anti").select(F.explode("facts").alias(RANK))
+
+
 def _without_pairs(members: DataFrame, size: int, pair: Denial, prefixes) -> DataFrame:
     """Drop matches two of whose facts are a conflict under ``pair``, judged on the row itself."""
     first, second = pair.atoms(prefixes)

@@ -21,8 +21,6 @@ from trivane.store import SPO, TripleStore, instantiate
 from trivane.terms import Pattern, Prefixes, is_var
 
 FACT = [*SPO, "o_num"]
-# Depth of rule applications a goal-directed query looks through.
-GOAL_DEPTH = 10
 
 
 @dataclass(frozen=True)
@@ -141,6 +139,26 @@ def apply_rule(
     return instantiate(solutions, rule.conclusions(prefixes), carry)
 
 
+def _refuse_growth(rules: Sequence[Rule], prefixes: Prefixes | None) -> None:
+    """Raise for a rule with a transform whose conclusions can reach its own body again."""
+    bodies = [_predicates(r.premises(prefixes)) for r in rules]
+    heads = [_predicates(r.conclusions(prefixes)) for r in rules]
+    feeds = [
+        [j for j, body in enumerate(bodies) if head is None or body is None or head & body] for head in heads
+    ]
+    for i, rule in enumerate(rules):
+        if rule.transform is None:
+            continue
+        seen, open_ = set(), list(feeds[i])
+        while open_:
+            j = open_.pop()
+            if j not in seen:
+                seen.add(j)
+                open_ += feeds[j]
+        if i in seen:
+            raise ValueError(f"rule {rule.name or i} has a transform and feeds itself, so it need not end; set max_rounds")
+
+
 def infer(
     facts: DataFrame,
     rules: Sequence[Rule],
@@ -157,9 +175,11 @@ def infer(
 
     ``semi_naive`` joins only combinations that use a fact of the round before.  ``max_rounds`` bounds the
     depth of derivations; without it the loop ends when a round finds nothing, which it must, because
-    rules create no new terms.  ``accept`` may drop candidate facts of a round.  ``tables`` may hold
+    rules create no new terms; a ``transform`` may, so recursion through a rule that has one is refused.  ``accept`` may drop candidate facts of a round.  ``tables`` may hold
     ``facts`` in wide form.
     """
+    if max_rounds is None:
+        _refuse_growth(rules, prefixes)
     columns, key = [*carry, *FACT], [*carry, *SPO]
     premises = [p for r in rules for p in r.premises(prefixes)]
     heads = [c for r in rules for c in r.conclusions(prefixes)]
@@ -251,7 +271,7 @@ class RuleBase:
         while grown:
             grown = False
             for rule in self.rules:
-                if rule in picked:
+                if any(rule is other for other in picked):
                     continue
                 heads = {c.p for c in rule.conclusions(self.store.prefixes)}
                 if any(is_var(p) for p in wanted | heads) or heads & wanted:
@@ -260,8 +280,11 @@ class RuleBase:
                     grown = True
         return picked
 
-    def prove(self, goal: Sequence[str], depth: int = GOAL_DEPTH) -> DataFrame:
-        """Distinct bindings of a goal whose proofs nest at most ``depth`` rule applications."""
+    def prove(self, goal: Sequence[str], depth: int | None = None) -> DataFrame:
+        """Distinct bindings of a goal, by the rules that can reach it.
+
+        All proofs are found; ``depth`` limits the answer to proofs that nest at most so many rule applications.
+        """
         parsed = Pattern.of(goal, self.store.prefixes)
         rules = self.goal_rules(parsed)
         facts = self.store.df.select(*FACT)

@@ -6,17 +6,17 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trivane.functions.expressions import as_number
 from trivane.operators.bgp import scan
 from trivane.operators.wide import PropertyTable
-from trivane.session import fits
-from trivane.terms import Pattern, Prefixes
+from trivane.terms import RDF_TYPE, Pattern, Prefixes
 
 SPO = ["s", "p", "o"]
 SCHEMA = "s string, p string, o string"
-# An insert of at most this many triples is checked against the store by a broadcast lookup.
-SMALL_INSERT = 200_000
+# A file of a saved store holds about this many triples.
+ROWS_PER_FILE = 2_000_000
 
 
 def with_number(df: DataFrame) -> DataFrame:
@@ -26,6 +26,11 @@ def with_number(df: DataFrame) -> DataFrame:
     return df.withColumn("o_num", as_number(F.col("o")))
 
 
+def long_type(df: DataFrame) -> DataFrame:
+    """The predicate ``a`` is short for the type predicate, in data as in queries."""
+    return df.withColumn("p", F.when(F.col("p") == "a", F.lit(RDF_TYPE)).otherwise(F.col("p")))
+
+
 class TripleStore:
     """Immutable handle: every change returns a new store.
 
@@ -49,20 +54,27 @@ class TripleStore:
     def from_rows(
         cls, spark: SparkSession, rows: Iterable[Sequence[str]], prefixes: dict[str, str] | None = None
     ) -> TripleStore:
-        return cls.of(spark.createDataFrame([tuple(r) for r in rows], SCHEMA), prefixes)
+        return cls.of(long_type(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)), prefixes)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, prefixes: dict[str, str] | None = None) -> TripleStore:
-        return cls(spark.read.parquet(path), prefixes)
+        """A saved store.  Predicates are folder names and stay text, whatever they look like."""
+        schema = spark.read.parquet(path).schema
+        schema["p"].dataType = StringType()
+        return cls(spark.read.schema(schema).parquet(path), prefixes)
 
-    def save(self, path: str, files_per_predicate: int = 16) -> None:
+    def save(self, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
         """Parquet, one folder per predicate, sorted by subject within each file.
 
-        Rows of a predicate spread over ``files_per_predicate`` tasks by subject, so a predicate that
-        holds a third of the data is not written by one task.
+        A predicate is spread by subject over as many tasks as its rows fill files, so one that holds a third of
+        the data is not written by one task.  Only predicates with more than one file are looked up, and there are
+        fewer of them than files.
         """
-        salt = F.pmod(F.xxhash64("s"), F.lit(files_per_predicate))
-        spread = self.df.withColumn("__salt", salt).repartition("p", "__salt").drop("__salt")
+        large = self.df.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_file)
+        files = large.select("p", F.ceil(F.col("n") / rows_per_file).alias("__files"))
+        spread = self.df.join(F.broadcast(files), "p", "left")
+        salt = F.pmod(F.xxhash64("s"), F.coalesce("__files", F.lit(1)))
+        spread = spread.withColumn("__salt", salt).repartition("p", "__salt").drop("__salt", "__files")
         spread.sortWithinPartitions("p", "s").write.partitionBy("p").parquet(path)
 
     @property
@@ -81,20 +93,16 @@ class TripleStore:
         return with_number(other).select(*SPO, "o_num")
 
     def add(self, triples: DataFrame) -> TripleStore:
-        """Set insert.
+        """Set insert: the store's rows stay as they are, and every triple it lacks is added once.
 
-        A small insert is looked up in the store without moving the store; a large one is merged by one
-        shuffle on the triple.
+        Of equal new triples the largest number counts.  The new triples are evaluated once, whatever their size.
         """
-        mine, new = self.df.select(*SPO, "o_num"), self._aligned(triples)
-        if fits(new, SMALL_INSERT):
-            new = new.dropDuplicates(SPO)
-            present = mine.join(F.broadcast(new.select(*SPO)), SPO, "left_semi").select(*SPO)
-            return self._same(mine.unionByName(new.join(present, SPO, "left_anti")))
-        return self._same(mine.unionByName(new).dropDuplicates(SPO))
+        mine = self.df.select(*SPO, "o_num")
+        new = self._aligned(triples).groupBy(*SPO).agg(F.max("o_num").alias("o_num"))
+        return self._same(mine.unionByName(new.join(mine.select(*SPO), SPO, "left_anti")))
 
     def add_rows(self, rows: Iterable[Sequence[str]]) -> TripleStore:
-        return self.add(self.spark.createDataFrame([tuple(r) for r in rows], SCHEMA))
+        return self.add(long_type(self.spark.createDataFrame([tuple(r) for r in rows], SCHEMA)))
 
     def remove(self, triples: DataFrame) -> TripleStore:
         return self._same(self.df.join(triples.select(*SPO), SPO, "left_anti"))
@@ -121,7 +129,8 @@ class TripleStore:
         found = self.df
         for place, term in zip(SPO, (s, p, o)):
             if term is not None:
-                found = found.filter(F.col(place) == F.lit(self.prefixes.expand(term)))
+                wanted = RDF_TYPE if place == "p" and term == "a" else self.prefixes.expand(term)
+                found = found.filter(F.col(place) == F.lit(wanted))
         return found.select(*SPO)
 
     def third(self, **two: str) -> DataFrame:
@@ -169,7 +178,7 @@ def instantiate(solutions: DataFrame, templates: Sequence[Pattern], carry: Seque
 
     def number(term: str):
         if not is_var(term):
-            return F.lit(term).try_cast("double")
+            return as_number(F.lit(term))
         name = var_name(term)
         return F.col(twin(name)) if twin(name) in solutions.columns else as_number(F.col(name).cast("string"))
 

@@ -104,15 +104,17 @@ def start(
     *,
     mode: str = "append",
     every: str | int | None = None,
+    checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Run a streaming result into a consumer called per micro-batch.
 
     Without ``every`` all available input is processed and the query ends; with it the query fires at
-    that interval until stopped.  Progress is kept on shared storage, so a restart resumes.
+    that interval until stopped.  Progress is kept in ``checkpoint``; a query started again with the same folder
+    goes on where it stopped.  Without it the query has a folder of its own and starts from the beginning.
     """
     writer = (
         result.writeStream.outputMode(mode)
-        .option("checkpointLocation", new_step_dir(result.sparkSession, "stream"))
+        .option("checkpointLocation", checkpoint or new_step_dir(result.sparkSession, "stream"))
         .foreachBatch(consumer)
     )
     trigger = {"availableNow": True} if every is None else {"processingTime": interval(every)}
