@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.text import bounded_batches
+from trivane.llm.text import KEPT, alone, bounded_batches
 
 # The control strings of the template, in the order of their reserved ids.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
@@ -47,6 +47,7 @@ class Ranks:
 
 
 _LOADED: dict[Ranks, object] = {}
+KEPT["chat"] = _LOADED.clear
 
 
 def encoding(ranks: Ranks):

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.text import SpanHasher, bounded_batches, span_hashes, word_spans
+from trivane.llm.text import KEPT, SpanHasher, alone, bounded_batches, span_hashes, word_spans
 
 MARK = ord("▁")
 # A longer run of letters is scored as several words; it keeps the products of probabilities in range.
@@ -60,6 +60,7 @@ class Pieces:
 
 
 _LOADED: dict[str, Pieces] = {}
+KEPT["langid"] = _LOADED.clear
 
 
 def pieces(path: str) -> Pieces:
@@ -190,6 +191,7 @@ def _counts(documents: DataFrame, model: str, tables: np.ndarray | None, names:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("langid")
         vocab = pieces(model)
         sums = np.zeros((vocab.count + 1, len(names)))
         place = {name: k for k, name in enumerate(names)}
@@ -277,6 +279,7 @@ def identify(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("langid")
         vocab = pieces(model)
         for batch in batches:
             found, sure = [], []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.llm.links import components
-from trivane.llm.text import LOWER, NOT_SPACE, bounded_batches, chunks, lists, mix, span_hashes, word_spans
+from trivane.llm.text import LOWER, NOT_SPACE, alone, bounded_batches, chunks, lists, mix, span_hashes, word_spans
 from trivane.session import materialize
 
 PIECE = 2048
@@ -80,6 +80,7 @@ def min_max(shingles: np.ndarray, flip: np.ndarray, factor: np.ndarray) -> tuple
 
 def _signer(how: Shingling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("minhash")
         random = np.random.default_rng(how.seed)
         count = how.bands * how.permutations
         flip, factor = random.integers(0, 1 << 64, (2, count), np.uint64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.text import bounded_batches
+from trivane.llm.text import KEPT, alone, bounded_batches
 
 MARK = "▁"
 KEPT_SEGMENTS = 300_000
@@ -131,6 +131,7 @@ class Vocabulary:
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 _LOADED: dict[str, Vocabulary] = {}
+KEPT["pieces"] = _LOADED.clear
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -157,6 +158,7 @@ def encode_decode(
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("pieces")
         words = vocabulary(model)
         decode, end = words.library.decode, words.end
         for batch in batches:

@@ -6,7 +6,7 @@ loops over characters in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,20 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+# What operators keep in a Python worker, by operator: the functions that let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def alone(operator: str) -> None:
+    """Called where a task of an operator begins: the worker lets go of what other operators have kept in it.
+
+    Spark reuses Python workers, so without this a pipeline would hold the caches of all its stages at once.
+    """
+    for other, release in KEPT.items():
+        if other != operator:
+            release()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1

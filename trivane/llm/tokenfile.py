@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trivane.llm import rangecoder
-from trivane.llm.text import bounded_batches
+from trivane.llm.text import KEPT, alone, bounded_batches
 from trivane.session import materialize, new_step_dir
 
 MAGIC = b"TIDS1\n"
@@ -66,6 +66,7 @@ class Encoder:
 
 
 _LOADED: dict[Tokens, Encoder] = {}
+KEPT["tokenfile"] = _LOADED.clear
 
 
 def encoder(how: Tokens) -> Encoder:
@@ -149,6 +150,7 @@ def write_tokens(
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("tokenfile")
         tool, stream, held, docs, counts, number, part, name = encoder(how), None, [], [], [], 0, 0, ""
         total = 0
 
