@@ -6,6 +6,8 @@ loops over characters in Python.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,16 +35,26 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 # What operators keep in a Python worker, by operator: the functions that let go of it.
 KEPT: dict[str, Callable[[], None]] = {}
+# The operator that ran last in this worker.
+_LAST: list[str | None] = [None]
 
 
 def alone(operator: str) -> None:
     """Called where a task of an operator begins: the worker lets go of what other operators have kept in it.
 
-    Spark reuses Python workers, so without this a pipeline would hold the caches of all its stages at once.
+    Spark reuses Python workers, so without this a pipeline would hold the caches of all its stages at once.  Freed
+    memory goes back to the system, since the C library would keep it for this worker.
     """
     for other, release in KEPT.items():
         if other != operator:
             release()
+    if _LAST[0] not in (None, operator):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+    _LAST[0] = operator
 
 
 def mix(x: np.ndarray) -> np.ndarray:
