@@ -6,11 +6,14 @@ equal length that are coded independently by ``rangecoder`` and carry the CRC-32
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,20 @@ class Tokens:
     end: int
 
 
+# The pattern by which the vocabulary's splitter finds its parts, and the same on lower-case ASCII text.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+PRINTABLE = re.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+STEPS = ["NFC", "Replace", "Lowercase"]
+
+
 class Encoder:
-    """Encodes whole texts word by word.
+    """Encodes whole texts part by part.
 
     The tokenizer's normaliser and splitter treat white space as a break that nothing crosses, so a text's ids are
-    those of its parts between spaces and line feeds, one after another.  Parts seen before are looked up.
+    those of its parts between spaces and line feeds, one after another.  Where the tokenizer lower-cases and splits by
+    SPLITTER, words of ASCII characters are cut further, into what the splitter gives the model.  Parts seen before are
+    looked up in two generations, so that common parts stay when the older one goes.
     """
 
     def __init__(self, how: Tokens) -> None:
@@ -51,18 +63,49 @@ class Encoder:
 
         self._tool = Tokenizer.from_file(how.path)
         self.size = max(self._tool.get_vocab_size(with_added_tokens=True), how.end + 1)
-        self._seen: dict[str, list[int]] = {"": []}
+        self._young: dict[str, tuple[int, ...]] = {"": ()}
+        self._old: dict[str, tuple[int, ...]] = {}
+        made = json.loads(self._tool.to_str())
+        steps = [s["type"] for s in (made["normalizer"] or {}).get("normalizers", [])]
+        split = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self._fine = steps == STEPS and split == SPLITTER
+        self._added = [a["content"] for a in made["added_tokens"]]
+
+    def _parts(self, text: str) -> list[str]:
+        whole = any(a in text for a in self._added)
+        if not self._fine or whole:
+            return text.replace("\n", " ").split(" ")
+        if text.isascii():
+            return ASCII_PARTS.findall(text.lower())
+        # Runs of ASCII words between the others are cut together.
+        parts: list[str] = []
+        for ascii_, words in groupby(text.replace("\n", " ").split(" "), str.isascii):
+            if ascii_:
+                parts += ASCII_PARTS.findall(" ".join(words).lower())
+            else:
+                parts += words
+        return parts
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self._seen) > KEPT_WORDS:
-            self._seen = {"": []}
-        seen = self._seen
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(seen))
-        found = [e.ids for e in self._tool.encode_batch_fast(new, add_special_tokens=False)]
-        known = {**seen, **dict(zip(new, found, strict=True))} if new else seen
-        self._seen.update((w, ids) for w, ids in zip(new, found, strict=True) if len(w) <= LONGEST_KEPT)
-        return [[i for word in words for i in known[word]] for words in cut]
+        if len(self._young) > KEPT_WORDS:
+            self._young, self._old = {"": ()}, self._young
+        young, old = self._young, self._old
+        cut = [self._parts(t) for t in texts]
+        fresh = set().union(*cut).difference(young)
+        young.update((w, old[w]) for w in fresh if w in old)
+        new = [w for w in fresh if w not in young]
+        if self._fine:
+            # The splitter gives parts of printable ASCII to the model as they are.
+            tokenize = self._tool.model.tokenize
+            young.update((w, tuple([t.id for t in tokenize(w)])) for w in new if PRINTABLE.fullmatch(w))
+        rest = [w for w in new if w not in young]
+        found = self._tool.encode_batch_fast(rest, add_special_tokens=False)
+        young.update((w, tuple(e.ids)) for w, e in zip(rest, found, strict=True))
+        ids = [list(chain.from_iterable(map(young.__getitem__, parts))) for parts in cut]
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del young[word]
+        return ids
 
 
 _LOADED: dict[Tokens, Encoder] = {}
