@@ -24,6 +24,7 @@ SMALL_BYTES = 8 << 20
 SMALL_BUCKET = 6
 BLOCK = 256
 COLUMNS = 4096
+COMPARED = 16
 
 
 @dataclass(frozen=True)
@@ -154,15 +155,19 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, how: Shingling) -> DataFr
     return common.filter(F.col("n") * 100 >= (F.col("both") - F.col("n")) * how.percent).select("a", "b").distinct()
 
 
-def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
-    """Members of buckets with several components, with their component and the bucket's largest; rows outside it."""
+def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int, int]:
+    """Members of buckets with several components, with their component and the bucket's largest.
+
+    Also the number of rows outside the largest, and of the comparisons of those with all of their bucket.
+    """
     placed = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("band").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("m"))
-    mixed = materialize(mixed.filter("parts > 1").select("band", F.col("most.component").alias("main"), "m"), "mixed")
-    open_ = materialize(placed.join(mixed, "band"), "open")
-    return open_, open_.filter("component != main").count()
+    outside = (F.col("m") - F.col("most.c")).alias("outside")
+    mixed = materialize(mixed.filter("parts > 1").select("band", F.col("most.component").alias("main"), "m", outside), "mixed")
+    left = mixed.agg(F.coalesce(F.sum("outside"), F.lit(0)), F.coalesce(F.sum(F.col("outside") * F.col("m")), F.lit(0))).first()
+    return materialize(placed.join(mixed.drop("outside"), "band"), "open"), left[0], left[1]
 
 
 def _small_pairs(open_: DataFrame, how: Shingling) -> DataFrame:
@@ -239,9 +244,15 @@ def _block_links(open_: DataFrame, rows: DataFrame, how: Shingling) -> DataFrame
 
 
 def _extended(joined: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links."""
-    chained = joined.select(F.col("component").alias("a"), F.col("id").alias("b"))
-    return materialize(components(chained.union(links)), "components")
+    """Components after more links: only the components that the links touch are joined anew."""
+    one = joined.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    two = joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    met = links.join(one, "a", "left").join(two, "b", "left")
+    merged = components(met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    merged = materialize(merged, "merged")
+    known = joined.union(merged.select("id", "id")).groupBy("id").agg(F.min("component").alias("c"))
+    now = merged.select(F.col("id").alias("c"), F.col("component").alias("new"))
+    return materialize(known.join(now, "c", "left").select("id", F.coalesce("new", "c").alias("component")), "components")
 
 
 def near_duplicates(
@@ -256,7 +267,8 @@ def near_duplicates(
     1. Documents with equal sets form a class, so copies cost nothing from here on.
     2. In each bucket of a band all classes are compared with the smallest one: linear in the bucket.
     3. Where a bucket still holds several components, the classes outside its largest one are compared with a class
-       of the largest one, another in every bucket and round, as long as that halves what is open.
+       of the largest one, another in every bucket and round, as long as that halves what is open and step 4 would
+       take more than COMPARED comparisons for each member of a bucket.
     4. What is still open is compared across components, the classes outside a bucket's largest component with all
        others: small buckets by a join, larger ones in blocks, so no task gets a whole bucket and no pair but a link
        leaves a block.  This covers every candidate pair that could still join two components.
@@ -284,8 +296,9 @@ def near_duplicates(
     joined = materialize(components(links), "components")
 
     members = members.filter("size > 2").select("band", "rep", "n")
-    open_, left = _open(members, joined)
-    while left:
+    open_, left, work = _open(members, joined)
+    bound = COMPARED * members.count()
+    while work > bound:
         own = open_.filter("component = main")
         pivot = own.groupBy("band").agg(
             F.min(F.struct(F.xxhash64("rep", "band", F.lit(left)).alias("h"), "rep", "n")).alias("pivot")
@@ -295,7 +308,7 @@ def near_duplicates(
         tried = tried.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
         joined = _extended(joined, _confirmed(materialize(tried.distinct(), "pairs"), rows, how))
         before = left
-        open_, left = _open(members, joined)
+        open_, left, work = _open(members, joined)
         if left * 2 > before:
             break
     if left:
