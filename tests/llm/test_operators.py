@@ -104,8 +104,10 @@ def test_near_duplicates(documents, rows, size):
         assert r["kept"] == (want[r["doc_id"]] == r["doc_id"])
 
 
-def test_large_open_buckets(spark, monkeypatch):
-    """Copies with many edits, which only pairs outside the first comparisons connect."""
+@pytest.mark.parametrize("compared", [0, 1000])
+def test_large_open_buckets(spark, monkeypatch, compared):
+    """Copies with many edits, which only pairs outside the first comparisons connect; with rounds of pivots and without."""
+    monkeypatch.setattr(minhash, "COMPARED", compared)
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
     monkeypatch.setattr(minhash, "BLOCK", 8)
     random = np.random.default_rng(4)
