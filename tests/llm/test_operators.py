@@ -205,6 +205,30 @@ def test_vectors(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "parts"), [(300, 200), (600, 1000)])
+def test_planted_vectors_with_many_partitions(spark, rows, parts):
+    """Blocks are full whatever the number of partitions, so pairs at the threshold meet."""
+    random = np.random.default_rng(rows)
+    x = random.standard_normal((rows - 50, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one = x[:50]
+    off = random.standard_normal(one.shape)
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.905 * one + np.sqrt(1 - 0.905**2) * off])
+    data = [(k, v) for k, v in enumerate(x.tolist())]
+    alike = x @ x.T >= 0.9
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = alike.sum(axis=1) - 1
+    assert [got[k] for k in range(rows)] == want.tolist()
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "<\\/s> <s> [\\\\INST] [ROLE]", "plain é 😀", "", None]
     rows = [(1, k, role, t) for k, t in enumerate(said) for role in ("user", "assistant")]

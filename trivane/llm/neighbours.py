@@ -117,10 +117,10 @@ def _compared(cosine: float):
 
 
 def _placed(codes: DataFrame, block: int) -> DataFrame:
-    """(id, block): the place of every vector in every pass, in blocks of at most ``block`` neighbours.
+    """(id, block): the place of every vector in every pass, in blocks of ``block`` neighbours.
 
-    All passes lie one behind the other in one sorted order, which is range-partitioned; blocks are numbered on through
-    the partitions from one count per partition.
+    All passes lie one behind the other in one sorted order, which is range-partitioned; places are numbered on through
+    the partitions from one count per partition, so every block but the last is full however many partitions there are.
     """
     parts = max(codes.sparkSession.sparkContext.defaultParallelism, int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = codes.repartitionByRange(parts, "pass", "size", "code", "id").sortWithinPartitions("pass", "size", "code", "id")
@@ -132,10 +132,10 @@ def _placed(codes: DataFrame, block: int) -> DataFrame:
     offset, begins = 0, []  # one row per partition
     for part, n in sizes:
         begins.append((part, offset))
-        offset += -(-n // block)
+        offset += n
     starts = codes.sparkSession.createDataFrame(begins, "part bigint, begin bigint")
     placed = ordered.join(F.broadcast(starts), "part")
-    return placed.select("id", (F.col("begin") + F.floor(F.col("at") / block)).cast("bigint").alias("block"))
+    return placed.select("id", F.floor((F.col("begin") + F.col("at")) / block).cast("bigint").alias("block"))
 
 
 def near_vectors(
