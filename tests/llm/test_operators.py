@@ -167,6 +167,25 @@ def test_secrets(spark, documents, rows):
     assert sorted((str(r["doc_id"]), spell(r)) for r in third.collect()) == want
 
 
+def test_ledger_in_a_new_session_and_a_repeated_batch(spark):
+    first = secrets.Ledger(spark)
+    docs = spark.createDataFrame([(1, "AKIA" + "A" * 16), (2, "plain"), (3, None)], "doc_id bigint, text string")
+    want = {1: 1, 2: 0, 3: 0}
+    found = lambda df: {r["doc_id"]: len(r["spans"]) for r in df.collect()}
+    assert found(secrets.scan(docs, first, "one")) == want
+    before = first.findings().count()
+    later = secrets.Ledger(spark, first._folder)
+    assert later.findings().count() == before == 3 * len(secrets.RULES)
+    assert found(secrets.scan(docs, later, "two")) == want
+    assert later.findings().count() == before  # nothing unseen
+    spark.createDataFrame([], secrets.FINDING).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+        f"{first._folder}/broken"
+    )
+    assert later.batches() == ["one", "two"]  # a half-written batch doesn't count
+    assert found(secrets.scan(docs, later, "one")) == want
+    assert later.findings().count() == before
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdefabcdefabcdef12 z"), (2, "clean")], "doc_id bigint, text string")
     found = secrets.scan(df, secrets.Ledger(spark), "b").join(df, "doc_id")

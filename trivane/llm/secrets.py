@@ -88,25 +88,37 @@ def _quick(rule: Rule) -> str:
 class Ledger:
     """Scanned (blob, kind, version) triples and their spans: one folder per committed batch.
 
-    A batch is written under its own name and counts once its writer has finished; writing a batch again replaces
+    A batch is written under its own name and counts once its folder holds the success marker, so a new session over the
+    same folder knows what has been scanned, and a half-written batch is scanned anew.  Writing a batch again replaces
     the same folder, so a batch that is run twice is there once.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self._spark = spark
         self._folder = folder or new_step_dir(spark, "ledger")
-        self._batches: list[str] = []
 
-    def findings(self) -> DataFrame:
-        """(blob, kind, version, spans) of every scanned triple; spans may be empty."""
-        if not self._batches:
+    def batches(self) -> list[str]:
+        """Names of the committed batches."""
+        jvm = self._spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self._folder)
+        system = root.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(root):
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(root)]
+        return sorted(n for n in names if system.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS")))
+
+    def findings(self, without: str | None = None) -> DataFrame:
+        """(blob, kind, version, spans) of every scanned triple, but for those of one batch; spans may be empty."""
+        done = [b for b in self.batches() if b != without]
+        if not done:
             return self._spark.createDataFrame([], FINDING)
-        return self._spark.read.schema(FINDING).parquet(*[f"{self._folder}/{b}" for b in self._batches])
+        return self._spark.read.schema(FINDING).parquet(*[f"{self._folder}/{b}" for b in done])
 
     def commit(self, batch: str, found: DataFrame) -> None:
+        """Write a batch; ``found`` must not read the batch's own folder, which is replaced."""
+        if "/" in batch:
+            raise ValueError(f"a batch is one folder: {batch}")
         found.write.mode("overwrite").parquet(f"{self._folder}/{batch}")
-        if batch not in self._batches:
-            self._batches.append(batch)
 
 
 def addressed(versions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -137,10 +149,11 @@ def scan(
     )
     paths = paths.withColumn("blob", F.sha2("text", 256))
     blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
-    seen = ledger.findings()
-    done = seen.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
+    # A batch that is run again is replaced, so its own triples aren't taken as seen.
+    others = any(b != batch for b in ledger.batches())
+    done = ledger.findings(without=batch).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
     known = F.coalesce(F.col("done"), F.expr("cast(array() as array<string>)"))
-    unseen = blobs.join(done, "blob", "left") if ledger._batches else blobs.withColumn("done", F.lit(None).cast("array<string>"))
+    unseen = blobs.join(done, "blob", "left") if others else blobs.withColumn("done", F.lit(None).cast("array<string>"))
     found = F.array(
         *[
             F.when(
