@@ -331,6 +331,13 @@ def test_agenda_equals_the_library():
         assert spelled == " ".join(map(str, ids))
 
 
+def test_a_broken_agenda_shows(monkeypatch):
+    words = pieces.Vocabulary(PIECES)
+    monkeypatch.setattr(words, "merge", lambda segment: [words.unknown])
+    (ids, spelled, agreed), = words.encode(["one text"])
+    assert (ids, spelled, agreed) == ([words.unknown] * 2, f"{words.unknown} {words.unknown}", False)
+
+
 def test_contamination(spark, documents, rows):
     base = sentence(1, 120)
     items = [(1, " ".join(base.split()[20:45])), (2, "a b"), (3, None), (4, "!!"), (None, base), (10, base.upper()), (5, "zz " * 12), (1, "12 34")]

@@ -97,7 +97,7 @@ class Vocabulary:
         """(ids, ids as text, agreed with the library) of each segment.
 
         A segment that starts with its space mark is what the library makes of the rest, since it puts the mark before
-        a text; where the two differ, the library's ids are taken and the text is marked.
+        a text; the ids are the agenda's, and a text where the two differ is marked.
         """
         if len(self._seen) > KEPT_SEGMENTS:
             self._seen.clear()
@@ -108,8 +108,7 @@ class Vocabulary:
         for segment, rest in zip(new, marked, strict=True):
             ids, agreed = self.merge(segment), True
             if rest is not None:
-                exact = next(wanted)
-                agreed, ids = exact == ids, exact
+                agreed = next(wanted) == ids
             found[segment] = (tuple(ids), " ".join(map(str, ids)), agreed)
         for segment in segments:
             if segment in self._seen:
@@ -146,7 +145,7 @@ def encode_decode(
 ) -> DataFrame:
     """One row per document: (id_col, ids, n_tokens, ids_sha256, decoded_sha256, agreed).
 
-    ids are those of the library for the whole text with the end id; ids_sha256 is over the decimal ids joined by one
+    ids are those of the agenda for the whole text with the end id; ids_sha256 is over the decimal ids joined by one
     space, decoded_sha256 over the UTF-8 bytes of the library's decoding.  agreed tells whether the agenda and the
     library gave the same ids for all segments.  ``with_ids=False`` leaves the ids out.
 
