@@ -384,6 +384,14 @@ def test_range_coder():
         assert (rangecoder.decode(rangecoder.encode(ids, freq), ids.shape[1], freq) == ids).all()
 
 
+def test_contexts_learn_over_a_whole_block():
+    """Ids that repeat only after 1000 others are predicted the next time."""
+    ids = np.tile(np.random.default_rng(8).permutation(1000), 8).astype(np.int32)
+    once = tokenfile.BLOCK * (len(ids) // tokenfile.BLOCK)
+    coded = rangecoder.encode(ids[:once].reshape(-1, tokenfile.BLOCK), rangecoder.scaled(np.bincount(ids)))
+    assert sum(map(len, coded)) < 0.9 * once
+
+
 def test_token_files(documents, rows, nothing, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-SLOTS = 1 << 10
+SLOTS = 1 << 13
 LEVELS = 8
 MIX_BITS = 16
 ORDER_0_BITS = 20

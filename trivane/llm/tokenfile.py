@@ -26,8 +26,8 @@ from trivane.llm.text import KEPT, alone, bounded_batches
 from trivane.session import materialize, new_step_dir
 
 MAGIC = b"TIDS1\n"
-BLOCK = 512
-GROUP_BLOCKS = 4096
+BLOCK = 4096
+GROUP_BLOCKS = 512
 KEPT_WORDS = 200_000
 LONGEST_KEPT = 64
 # magic, blocks, block length, ids, ids that occur, documents, bytes of the packed header
