@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, langid, pieces, quality, rollup, secrets, tokenfile, winnow
+from trivane.llm import chat, langid, merkle, pieces, quality, rollup, secrets, tokenfile, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
 from trivane.llm.neighbours import near_vectors
 
@@ -109,6 +109,22 @@ def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.totals()
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf, with its proof; texts of a third of the ids are folded as if lower-cased."""
+    tampered = F.when(_remainder(3) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), claimed={"text": tampered})
+    return found.select(
+        "doc_id",
+        *[merkle.spelled(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(merkle.spelled(merkle.proof(F.col("path"))), 256).alias("proof_sha256"),
+        merkle.spelled(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -127,5 +143,6 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_tokens": op9_tokens,
     "op10_counts": op10_counts,
+    "op13_manifest": op13_manifest,
 }
 ORACLES: dict[str, str] = {}
