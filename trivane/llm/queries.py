@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import chat, langid, merkle, pieces, quality, rollup, secrets, tokenfile, winnow
+from trivane.llm import bpe, chat, langid, merkle, pieces, quality, rollup, secrets, tokenfile, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
 from trivane.llm.neighbours import near_vectors
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = chat.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-TOKENS = tokenfile.Tokens(public_tokenizers.path("word_bpe_49k.json"), 2)
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+TOKENS = tokenfile.Tokens(WORDS, 2)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +110,10 @@ def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.totals()
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), WORDS, with_ids=False)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -143,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_tokens": op9_tokens,
     "op10_counts": op10_counts,
+    "op12_bpe": op12_bpe,
     "op13_manifest": op13_manifest,
 }
 ORACLES: dict[str, str] = {}
