@@ -11,12 +11,12 @@ from trivane.llm.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 ROWS = {
     "op3_neighbours": "embeddings", **{f"op{n}": "documents" for n in ()},
-    **{name: "documents" for name in QUERIES if name.startswith("op") and name.split("_")[0] not in ("op3", "op5", "op10")},
+    **{name: "documents" for name in QUERIES if name.startswith("op") and name.split("_")[0] not in ("op3", "op5", "op10", "op11")},
 }
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
 
 
