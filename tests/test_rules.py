@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import tuples
 from trivane import TripleStore
@@ -17,6 +18,7 @@ from trivane.plans.constraints import (
 )
 from trivane.plans.levels import LevelRule, LevelStore, at_level
 from trivane.plans.rules import Rule, RuleBase, highest_reading, infer
+from trivane.terms import Pattern
 
 CLOSURE = [
     Rule([("?x", "e", "?y")], [("?x", "r", "?y")]),
@@ -240,3 +242,61 @@ def test_rounds_are_kept_in_the_shared_folder(spark, make_store):
     derived = infer(make_store([("a", "e", "b"), ("b", "e", "c")]).df, CLOSURE)
     assert all(f.startswith("file:") and shared_dir(spark).removeprefix("file:") in f for f in derived.inputFiles())
     assert isinstance(TripleStore(derived), TripleStore)
+
+
+def goal_rule_base(make_store, edges, rules):
+    return RuleBase(make_store([(a, "edge", b) for a, b in edges]), rules)
+
+
+PATHS = [
+    Rule([("?x", "edge", "?y")], [("?x", "path", "?y")]),
+    Rule([("?x", "path", "?y"), ("?y", "path", "?z")], [("?x", "path", "?z")]),
+]
+
+
+@pytest.mark.parametrize("goal", [("n3", "path", "?y"), ("?x", "path", "n3"), ("n2", "path", "n5"), ("n5", "path", "n2"), ("?x", "path", "?x"), ("?x", "path", "?y")])
+def test_goals_of_every_adornment(make_store, goal):
+    edges = [("n0", "n1"), ("n1", "n2"), ("n2", "n3"), ("n3", "n4"), ("n4", "n5"), ("n5", "n4"), ("m0", "m1"), ("m1", "m2")]
+    base = goal_rule_base(make_store, edges, PATHS)
+    everything = {(r["s"], r["o"]) for r in base.infer_semi_naive().collect()}
+    want = set()
+    for s, o in everything:
+        bound = {}
+        if all(t == v if not t.startswith("?") else bound.setdefault(t, v) == v for t, v in zip((goal[0], goal[2]), (s, o))):
+            want.add(tuple(bound[t] for t in dict.fromkeys((goal[0], goal[2])) if t.startswith("?")))
+    assert {tuple(r) for r in base.prove(goal).collect()} == want
+
+
+def test_bound_goal_derives_only_what_it_reaches(make_store):
+    """Two chains of 12: a goal about the end of one derives nothing about the other, nor about what lies before."""
+    edges = [(f"{c}{i:02d}", f"{c}{i + 1:02d}") for c in "ab" for i in range(12)]
+    base = goal_rule_base(make_store, edges, PATHS)
+    goal = Pattern.of(("a09", "path", "?y"))
+    derived = {(r["s"], r["o"]) for r in base.derived_for(goal).collect()}
+    assert derived == {(f"a{i:02d}", f"a{j:02d}") for i in range(9, 13) for j in range(i + 1, 13)}
+    assert len(base.infer_semi_naive().collect()) == 2 * 78
+
+
+def test_bound_goals_through_constants_filters_and_several_heads(make_store):
+    rows = [("a", "age", "30"), ("b", "age", "12"), ("c", "age", "40"), ("a", "knows", "b"), ("b", "knows", "c"), ("c", "knows", "a"), ("hub", "link", "a")]
+    rules = [
+        Rule([("?x", "age", "?n")], [("?x", "adult", "yes"), ("?x", "checked", "?n")], [compare("?n", ">", 18)]),
+        Rule([("?x", "knows", "?y"), ("?y", "adult", "yes")], [("?x", "meets", "?y")]),
+        Rule([("hub", "link", "?y"), ("?x", "meets", "?y"), ("?z", "meets", "?x")], [("?z", "near", "hub")]),
+    ]
+    base = RuleBase(make_store(rows), rules)
+    assert tuples(base.prove(("b", "meets", "?y"))) == [("c",)]
+    assert tuples(base.prove(("?x", "meets", "a"))) == [("c",)]
+    assert tuples(base.prove(("?x", "near", "hub"))) == [("b",)]
+    assert tuples(base.prove(("a", "adult", "yes"))) == [()] and tuples(base.prove(("b", "adult", "yes"))) == []
+    assert tuples(base.query(("a", "age", "?n"))) == [("30",)]
+    assert tuples(base.inferred_query(("c", "checked", "?n"))) == [("40",)]
+
+
+def test_goal_over_rules_that_cannot_be_steered(make_store):
+    """A predicate variable and a transform go through the plain closure."""
+    store = make_store([("a", "p", "b"), ("b", "p", "c"), ("p", "is", "linked")])
+    every = Rule([("?q", "is", "linked"), ("?x", "?q", "?y")], [("?x", "joined", "?y")])
+    assert tuples(RuleBase(store, [every]).prove(("a", "joined", "?y"))) == [("b",)]
+    louder = Rule([("?x", "p", "?y")], [("?x", "loud", "?z")], transform=lambda df: df.withColumn("z", F.upper("y")))
+    assert tuples(RuleBase(store, [louder]).prove(("a", "loud", "?z"))) == [("B",)]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.operators import joins
 from trivane.operators.sequence import numbered
 from trivane.operators.skew import CHUNK_ROWS, chunked, top_rows
 from trivane.store import SPO, TripleStore
-from trivane.streaming.r2s import relation_to_stream
-from trivane.streaming.windows import OnWindowClose, WindowSpec, evaluations, window_contents
+from trivane.streaming.continuous import ContinuousQuery
+from trivane.streaming.engine import StreamPlan
+from trivane.streaming.windows import OnWindowClose, WindowSpec
 
 _PLACES = {"subject": "s", "predicate": "p", "object": "o"}
 
@@ -33,6 +35,7 @@ class TripleQuery:
         self._window: WindowSpec | None = None
         self._reports: list = []
         self._operator: str | None = None
+        self._tick, self._batch = "time", "batch"
 
     def _where(self, condition: Column) -> TripleQuery:
         self._conditions.append(condition)
@@ -227,22 +230,58 @@ class TripleQuery:
         self._operator = operator
         return self
 
+    def with_tick_strategy(self, tick: str, batch: str = "batch") -> TripleQuery:
+        """What is evaluated: ``time`` each event time, ``tuple`` each arrival, ``batch`` the end of each batch."""
+        self._tick, self._batch = tick, batch
+        return self
+
+    def stream_plan(self) -> FilterPlan:
+        """The plan of this query per window.
+
+        The window defaults to 100 wide, 10 apart; reports are added to on-window-close.
+        """
+        return FilterPlan(
+            window=self._window or WindowSpec(100, 10),
+            reports=[OnWindowClose(), *self._reports],
+            operator=self._operator or "rstream",
+            tick=self._tick,
+            batch=self._batch,
+            asked=self,
+        )
+
     def stream_results(self, events: DataFrame) -> DataFrame:
         """Evaluate over timestamped triples ``(s, p, o, o_num, ts)``: filters and slices apply per window.
 
-        Rows carry ``fire_ts``.  The window defaults to 100 wide, 10 apart; reports are added to
-        on-window-close.
+        Rows carry ``fire_ts``, with tuple ticks also the number of the arrival.
         """
-        spec = self._window or WindowSpec(100, 10)
-        reports = [OnWindowClose(), *self._reports]
-        content = self._filtered(window_contents(events, spec, reports))
+        return self.stream_plan().evaluate(events)
+
+    def as_stream(
+        self,
+        spark: SparkSession,
+        folder: str | None = None,
+        delay: int = 0,
+        sink: Callable[[DataFrame, int], None] | None = None,
+    ) -> ContinuousQuery:
+        """The same on a live source: ``start(stream)``, ``results()``; see :class:`ContinuousQuery`."""
+        return ContinuousQuery(spark, self.stream_plan(), folder, delay, sink)
+
+    def _per_instant(self, content: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Filters and slices within each evaluation."""
+        content = self._filtered(content)
         if self._limit is not None:
-            content = top_rows(content, ["fire_ts"], self._order(), self._limit, self._offset)
+            content = top_rows(content, keys, self._order(), self._limit, self._offset)
         elif self._offset:
-            skipped = top_rows(content, ["fire_ts"], self._order(), self._offset)
-            content = content.join(skipped.select("fire_ts", *SPO), ["fire_ts", *SPO], "left_anti")
-        content = content.select("fire_ts", *SPO)
-        if self._operator is None:
-            return content
-        fired = evaluations(events, spec, reports)
-        return relation_to_stream(content, fired.select("fire_ts"), self._operator, SPO)
+            skipped = top_rows(content, keys, self._order(), self._offset)
+            content = content.join(skipped.select(*keys, *SPO), [*keys, *SPO], "left_anti")
+        return content.select(*keys, *SPO)
+
+
+@dataclass(frozen=True, kw_only=True)
+class FilterPlan(StreamPlan):
+    """The filters and slices of a triple query, applied to each evaluated window."""
+
+    asked: TripleQuery
+
+    def answers(self, events: DataFrame, fired: DataFrame, around: TripleStore | None = None) -> DataFrame:
+        return self.asked._per_instant(self.content(events, fired), self.instant)

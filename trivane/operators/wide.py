@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivane.functions.expressions import as_number
 from trivane.terms import Pattern, is_var, twin, var_name
 
 
@@ -57,10 +58,10 @@ def scan_star(tables: Sequence[PropertyTable], star: Sequence[Pattern]) -> DataF
 
 def _scan_table(table: PropertyTable, star: Sequence[Pattern]) -> DataFrame:
     subject = star[0].s
-    bound: dict[str, tuple[str, str]] = {}
+    bound: dict[str, tuple[Column, Column]] = {}
     conditions: list = []
     if is_var(subject):
-        bound[subject] = (table.subject, f"try_cast({table.subject} AS double)")
+        bound[subject] = (F.expr(table.subject), as_number(F.expr(table.subject).cast("string")))
     else:
         conditions.append(F.expr(table.subject) == F.lit(subject))
     for pattern in star:
@@ -69,14 +70,14 @@ def _scan_table(table: PropertyTable, star: Sequence[Pattern]) -> DataFrame:
         if not is_var(pattern.o):
             conditions.append(F.expr(text) == F.lit(pattern.o))
         elif pattern.o in bound:
-            conditions.append(F.expr(bound[pattern.o][0]) == F.expr(text))
+            conditions.append(bound[pattern.o][0] == F.expr(text))
         else:
-            bound[pattern.o] = (text, number)
+            bound[pattern.o] = (F.expr(text), F.expr(number))
     rows = table.df
     for condition in conditions:
         rows = rows.filter(condition)
     columns = []
     for term, (text, number) in bound.items():
         name = var_name(term)
-        columns += [F.expr(text).alias(name), F.expr(number).alias(twin(name))]
+        columns += [text.alias(name), number.alias(twin(name))]
     return rows.select(*columns)

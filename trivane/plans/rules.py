@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivane.operators.bgp import join_order, join_solutions, linked_order, scan, variables
+from trivane.operators.keyed import join_keyed, with_fixed
 from trivane.operators.wide import PropertyTable, scan_star, star_variables, stars
 from trivane.session import StepLog, materialize
 from trivane.store import SPO, TripleStore, instantiate
@@ -63,6 +64,7 @@ def body_solutions(
     background: DataFrame | None = None,
     tables: Sequence[PropertyTable] = (),
     given: set[int] | None = None,
+    new_at: int | None = None,
 ) -> DataFrame:
     """Join the premises, premise ``i`` taken from ``relation_of(i)``.
 
@@ -71,29 +73,24 @@ def body_solutions(
 
     With ``background`` a premise may match either a carried fact or a background fact, which belongs to
     every carried key.  Solutions then come in two kinds, keyed and unkeyed, and a join of the two kinds
-    is keyed; only keyed solutions are returned.
+    is keyed; only keyed solutions are returned.  The premise at ``new_at`` takes new facts only.
     """
     if tables and given and not carry and background is None:
         return _body_over_tables(premises, relation_of, tables, given)
-    order = join_order(premises)
     index = {id(p): i for i, p in enumerate(premises)}
-    keyed = unkeyed = None
-    for pattern in order:
-        here = scan(relation_of(index[id(pattern)]), pattern, carry)
-        there = None if background is None else scan(background, pattern)
-        if keyed is None:
-            keyed, unkeyed = here, there
+    solutions = None
+    for pattern in join_order(premises):
+        at = index[id(pattern)]
+        if background is None:
+            here = scan(relation_of(at), pattern, carry)
+            solutions = here if solutions is None else join_solutions(solutions, here, carry)
             continue
-        parts = [join_solutions(keyed, here, carry)]
-        if there is not None:
-            parts.append(join_solutions(keyed, there, carry))
-            parts.append(join_solutions(here, unkeyed, carry))
-            unkeyed = join_solutions(unkeyed, there)
-            parts = [p.select(*parts[0].columns) for p in parts]
-        keyed = union_all(parts)
+        fixed = None if at == new_at else background
+        here = scan(with_fixed(relation_of(at), fixed, carry, FACT), pattern, carry)
+        solutions = here if solutions is None else join_keyed(solutions, here, carry)
     if background is not None:
-        keyed = keyed.dropDuplicates([*carry, *variables(keyed)])
-    return keyed
+        solutions = solutions.filter(F.col(carry[0]).isNotNull()).dropDuplicates([*carry, *variables(solutions)])
+    return solutions
 
 
 def _body_over_tables(
@@ -125,13 +122,14 @@ def apply_rule(
     prefixes: Prefixes | None = None,
     tables: Sequence[PropertyTable] = (),
     derivable: set[str] | None = None,
+    new_at: int | None = None,
 ) -> DataFrame:
     """Facts the rule concludes in one step, not yet made distinct."""
     premises = rule.premises(prefixes)
     given = set()
     if derivable is not None:
         given = {i for i, p in enumerate(premises) if not is_var(p.p) and p.p not in derivable}
-    solutions = body_solutions(premises, relation_of, carry, background, tables, given)
+    solutions = body_solutions(premises, relation_of, carry, background, tables, given, new_at)
     for condition in rule.filters:
         solutions = solutions.filter(condition)
     if rule.transform is not None:
@@ -191,8 +189,8 @@ def infer(
     if background is not None:
         fixed = _with_predicates(background.select(*FACT), head_predicates)
 
-    def step(rule: Rule, relation_of: Callable[[int], DataFrame]) -> DataFrame:
-        return apply_rule(rule, relation_of, carry, background, prefixes, tables, head_predicates)
+    def step(rule: Rule, relation_of: Callable[[int], DataFrame], new_at: int | None = None) -> DataFrame:
+        return apply_rule(rule, relation_of, carry, background, prefixes, tables, head_predicates, new_at)
 
     log = StepLog(base, "rules")
     delta: DataFrame | None = None
@@ -216,7 +214,7 @@ def infer(
                 def relation_of(i, at=position, new=delta, old=earlier, both=everything) -> DataFrame:
                     return new if i == at else old if i < at else both
 
-                conclusions.append(step(rule, relation_of))
+                conclusions.append(step(rule, relation_of, position))
         if not conclusions:
             break
         candidates = union_all([c.select(*columns) for c in conclusions]).dropDuplicates(key)
@@ -257,12 +255,35 @@ class RuleBase:
         return TripleStore(self.store.df.select(*FACT).unionByName(added), self.store.prefixes)
 
     def query(self, pattern: Sequence[str]) -> DataFrame:
-        """Bindings among given and derived facts."""
-        return self.closed_store().solutions(pattern)
+        """Bindings among given and derived facts; constants of the pattern steer the derivation."""
+        parsed = Pattern.of(pattern, self.store.prefixes)
+        added = self.derived_for(parsed)
+        return TripleStore(self.store.df.select(*FACT).unionByName(added)).solutions((parsed.s, parsed.p, parsed.o))
 
     def inferred_query(self, pattern: Sequence[str]) -> DataFrame:
         """Bindings among derived facts only."""
-        return TripleStore(self.infer_semi_naive(), self.store.prefixes).solutions(pattern)
+        parsed = Pattern.of(pattern, self.store.prefixes)
+        return TripleStore(self.derived_for(parsed)).solutions((parsed.s, parsed.p, parsed.o))
+
+    def derived_for(self, goal: Pattern) -> DataFrame:
+        """Derived facts among which are all that match the goal.
+
+        Where the goal binds a position only facts that its bindings lead to are derived, else what the rules
+        that can reach it conclude.
+        """
+        from trivane.plans.goals import directed, without_asked
+
+        store = self.store
+        facts, rules = store.df.select(*FACT), self.goal_rules(goal)
+        if not rules:
+            return facts.limit(0)
+        rewritten = directed(rules, goal, store.prefixes)
+        if rewritten is None:
+            return infer(facts, rules, prefixes=store.prefixes, tables=store.tables)
+        steered, asked = rewritten
+        seeds = store.spark.createDataFrame([(*t, None) for t in asked], "s string, p string, o string, o_num double")
+        # The rewritten rules hold expanded terms, so no prefix applies any more.
+        return without_asked(infer(facts.unionByName(seeds), steered, tables=store.tables))
 
     def goal_rules(self, goal: Pattern) -> list[Rule]:
         """Rules that can contribute to the goal, found from the head predicates backwards."""
@@ -286,8 +307,9 @@ class RuleBase:
         All proofs are found; ``depth`` limits the answer to proofs that nest at most so many rule applications.
         """
         parsed = Pattern.of(goal, self.store.prefixes)
-        rules = self.goal_rules(parsed)
-        facts = self.store.df.select(*FACT)
+        if depth is None:
+            return self.query(goal).distinct()
+        facts, rules = self.store.df.select(*FACT), self.goal_rules(parsed)
         if rules:
             store = self.store
             added = infer(facts, rules, max_rounds=depth, prefixes=store.prefixes, tables=store.tables)

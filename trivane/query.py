@@ -20,8 +20,9 @@ from trivane.operators.bgp import (
     join_solutions,
     variables,
 )
+from trivane.operators.keyed import join_keyed, join_patterns_keyed, under_every_key, with_fixed
 from trivane.operators.skew import top_rows
-from trivane.store import TripleStore, instantiate
+from trivane.store import SPO, TripleStore, instantiate
 from trivane.terms import Pattern, Prefixes, is_var, twin, var_name
 
 # VALUES rows come from the driver, so they are small; beyond this many the table is joined by shuffle.
@@ -62,7 +63,7 @@ def order_columns(keys: Sequence[str | tuple[str, str]], columns: Sequence[str])
         name, direction = (key, "asc") if isinstance(key, str) else key
         name = var_name(name)
         named.add(name)
-        number = F.col(twin(name)) if twin(name) in columns else F.col(name).try_cast("double")
+        number = F.col(twin(name)) if twin(name) in columns else as_number(F.col(name).cast("string"))
         words = F.coalesce(F.col(name).cast("string"), F.lit(""))
         if direction.lower() == "desc":
             out += [number.desc_nulls_last(), words.desc()]
@@ -72,6 +73,25 @@ def order_columns(keys: Sequence[str | tuple[str, str]], columns: Sequence[str])
     return out + [F.col(c).asc_nulls_first() for c in sorted(rest)]
 
 
+@dataclass(frozen=True)
+class Around:
+    """What surrounds a keyed store: triples that hold under every key, and the keys there are.
+
+    No triple of the store may be among the fixed ones, or solutions would count twice.
+    """
+
+    fixed: DataFrame
+    keys: DataFrame
+
+    def unkeyed(self, solutions: DataFrame, carry: Sequence[str]) -> DataFrame:
+        return solutions.withColumns({c: F.lit(None).cast(self.keys.schema[c].dataType) for c in carry})
+
+    def keyed(self, solutions: DataFrame, carry: Sequence[str]) -> DataFrame:
+        """Solutions without a key hold under each."""
+        known = solutions if carry[0] in solutions.columns else self.unkeyed(solutions, carry)
+        return under_every_key(known, self.keys, carry)
+
+
 class Select:
     """``Select("?a", "?b")`` or ``Select()`` for all subject and object variables, sorted by name."""
 
@@ -144,7 +164,9 @@ class Select:
         table = table.select(*[c for n in names for c in (F.col(n), as_number(F.col(n)).alias(twin(n)))])
         return F.broadcast(table) if len(rows) <= INLINE_ROWS else table
 
-    def _step(self, solutions: DataFrame | None, store: TripleStore, clause: tuple, carry: list[str]):
+    def _step(
+        self, solutions: DataFrame | None, store: TripleStore, clause: tuple, carry: list[str], around: Around | None
+    ):
         kind, args = clause
         if kind == "patterns":
             source = args[1] or store
@@ -152,6 +174,11 @@ class Select:
             for p in parsed:
                 self._starred |= {var_name(t) for t in (p.s, p.o) if is_var(t)}
             keys = [] if args[1] else carry
+            if around is not None and keys:
+                relation = with_fixed(store.df, around.fixed, keys, [*SPO, "o_num"])
+                if solutions is not None and keys[0] not in solutions.columns:
+                    solutions = around.unkeyed(solutions, keys)
+                return join_patterns_keyed(relation, parsed, keys, solutions)
             return join_patterns(source.df, parsed, keys, solutions, self._strategy, source.tables)
         if kind == "values":
             names, rows = args
@@ -163,17 +190,24 @@ class Select:
                 return compatible_join(solutions, table)
             return join_solutions(solutions, table)
         if kind == "subselect":
-            inner = args[0].solutions(store, carry)
+            inner = args[0].solutions(store, carry, around)
             self._starred |= set(variables(inner))
-            return inner if solutions is None else join_solutions(solutions, inner, carry)
+            if solutions is None:
+                return inner
+            if around is not None:
+                known = solutions if carry[0] in solutions.columns else around.unkeyed(solutions, carry)
+                return join_keyed(known, inner, carry)
+            return join_solutions(solutions, inner, carry)
         if solutions is None:
             raise ValueError(f"{kind} needs a pattern, VALUES or subselect before it")
         if kind == "filter":
             return solutions.filter(args[0])
         if kind == "bind":
             name, value = args
-            return solutions.withColumn(name, value).withColumn(twin(name), F.col(name).try_cast("double"))
+            return solutions.withColumn(name, value).withColumn(twin(name), as_number(F.col(name).cast("string")))
         names, aggregates = args
+        if around is not None:
+            solutions = around.keyed(solutions, carry)
         grouped = solutions.groupBy(*carry, *names)
         twins = [F.first(twin(n), ignorenulls=True).alias(twin(n)) for n in names]
         summed = grouped.agg(*twins, *[a.column() for a in aggregates])
@@ -201,14 +235,19 @@ class Select:
                 out.append((kind, args))
         return out
 
-    def solutions(self, store: TripleStore, carry: Sequence[str] = ()) -> DataFrame:
-        """Solution relation: carried key, selected variables and their numeric twins."""
+    def solutions(self, store: TripleStore, carry: Sequence[str] = (), around: Around | None = None) -> DataFrame:
+        """Solution relation: carried key, selected variables and their numeric twins.
+
+        With ``around`` every pattern also matches its fixed triples, which hold under each of its keys.
+        """
         keys, solutions = list(carry), None
         self._starred = set()
         for clause in self._merged(self._late_values(self._clauses)):
-            solutions = self._step(solutions, store, clause, keys)
+            solutions = self._step(solutions, store, clause, keys, around)
         if solutions is None:
             raise ValueError("the query has no clause")
+        if around is not None:
+            solutions = around.keyed(solutions, keys)
         names = self._names or sorted(self._starred)
         missing = [n for n in names if n not in solutions.columns]
         for n in missing:
@@ -223,9 +262,9 @@ class Select:
                 solutions = solutions.orderBy(*order)
         return solutions.select(*keys, *[c for n in names for c in (n, twin(n)) if c in solutions.columns])
 
-    def run(self, store: TripleStore, carry: Sequence[str] = ()) -> DataFrame:
+    def run(self, store: TripleStore, carry: Sequence[str] = (), around: Around | None = None) -> DataFrame:
         """One column per selected variable; unbound is NULL."""
-        solved = self.solutions(store, carry)
+        solved = self.solutions(store, carry, around)
         return solved.select(*carry, *[c for c in variables(solved) if c not in carry])
 
     def rows_as_text(self, store: TripleStore) -> DataFrame:

@@ -8,7 +8,10 @@ executor, keeps column pruning, and gives the next step real file sizes to plan
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPE = threading.local()
+
+
 def new_step_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    root = getattr(_SCOPE, "folder", None) or shared_dir(spark)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder of written steps, wherever it is; it may be gone already."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[None]:
+    """Steps written by this thread inside go away at the end, so a job that runs for ever leaves none behind.
+
+    Nothing that is read later may depend on them: write it elsewhere before the end.
+    """
+    outer = getattr(_SCOPE, "folder", None)
+    _SCOPE.folder = new_step_dir(spark, "passing")
+    try:
+        yield
+    finally:
+        folder, _SCOPE.folder = _SCOPE.folder, outer
+        remove_dir(spark, folder)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivane.functions.expressions import as_number
+
 
 def json_fields(messages: DataFrame, payload: str, schema: str) -> DataFrame:
     """Add the fields of a JSON payload column."""
@@ -19,7 +21,7 @@ def to_triples(
 ) -> DataFrame:
     """One triple per message and predicate; a missing field gives no triple."""
     entries = [
-        F.struct(F.lit(p).alias("p"), v.cast("string").alias("o"), v.try_cast("double").alias("o_num"))
+        F.struct(F.lit(p).alias("p"), v.cast("string").alias("o"), as_number(v.cast("string")).alias("o_num"))
         for p, v in fields.items()
     ]
     rows = messages.select(*carry, subject.alias("s"), F.explode(F.array(*entries)).alias("t"))

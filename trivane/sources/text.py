@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.functions.expressions import as_number
+from trivane.operators.bgp import BROADCAST_BYTES, weight
 from trivane.operators.skew import hot_keys, salted_join
-from trivane.session import fits
 
 # Term patterns of the line formats.
 IRI = r"<[^>]*>"
@@ -24,15 +24,10 @@ LITERAL = rf'"{QUOTED}"(?:\^\^(?:<[^>]*>|[^\s;,.]+)|@[A-Za-z0-9-]+)?'
 NTRIPLES_LINE = rf"^\s*({IRI}|{BLANK})\s*({IRI})\s*({IRI}|{BLANK}|{LITERAL})\s*\.\s*$"
 LITERAL_PARTS = rf'^"({QUOTED})"(?:\^\^(.+)|@([A-Za-z0-9-]+))?$'
 BARE = r'[^\s;,"<>]+'
-STATEMENT_END = r"\.[ \t\r]*(?:#[^\n]*)?(?:\n|$)"
-PREFIX_LINE = r"@prefix\s+([^\s:]*):\s*<([^>]*)>"
 
 # Separates the groups of one match.
 MARK = "\x1f"
 
-# A prefix table is broadcast up to this many rows; a larger one is joined by shuffle with hot keys salted.
-PREFIX_ROWS = 100_000
-
 
 def unescape(column: Column) -> Column:
     """Resolve the string escapes of a literal; a doubled backslash is set aside first."""
@@ -161,43 +156,14 @@ def read_turtle_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_n3(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Triples and prefix table of N3 files.
+    """Triples with expanded prefixes, and the prefixes, of N3 files; :mod:`trivane.sources.n3` also gives rejects."""
+    from trivane.sources import n3
 
-    The files are split at statement ends (a dot that ends a line), not at line ends, so a statement with
-    a predicate list over several lines arrives whole and a large file still spreads over tasks.
-    """
-    records = spark.read.option("lineSep", ".\n").text(path)
-    return parse_n3(records)
-
-
-def parse_n3(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``records`` hold one or more statements each, whose last dot may already be cut off."""
-    statements = records.select(F.explode(F.split("value", STATEMENT_END)).alias("value"))
-    # Comments run from a hash at the start of a line or after a blank to the end of the line.
-    clean = F.regexp_replace("value", r"(?m)(^|\s)#[^\n]*$", "$1")
-    clean = F.trim(F.regexp_replace(clean, r"[\r\n\t]+", " "))
-    statements = statements.select(clean.alias("value")).filter(F.length("value") > 0)
-    directive = F.col("value").startswith("@prefix")
-    prefixes = statements.filter(directive).select(
-        F.regexp_extract("value", PREFIX_LINE, 1).alias("prefix"), F.regexp_extract("value", PREFIX_LINE, 2).alias("iri")
-    ).distinct()
-    term = rf"{IRI}|{BLANK}|{LITERAL}|{BARE}"
-    subject = rf"^({term})\s+(.*)$"
-    body = statements.filter(~F.col("value").startswith("@")).select(
-        F.regexp_extract("value", subject, 1).alias("subject"), F.regexp_extract("value", subject, 2).alias("rest")
-    )
-    # Literals may hold a semicolon or comma, so the lists are matched, not split.
-    pair = rf"({IRI}|{BARE})\s+((?:{term})(?:\s*,\s*(?:{term}))*+)"
-    pairs = body.select("subject", F.explode(F.regexp_extract_all("rest", F.lit(pair), F.lit(0))).alias("pair"))
-    split = pairs.select(
-        "subject",
-        F.regexp_extract("pair", rf"^({IRI}|{BARE})", 1).alias("predicate"),
-        F.regexp_extract("pair", rf"^(?:{IRI}|{BARE})\s+(.*)$", 1).alias("objects"),
-    )
-    items = split.select(
-        "subject", "predicate", F.explode(F.regexp_extract_all("objects", F.lit(term), F.lit(0))).alias("object")
-    )
-    return typed_terms(items, F.col("subject"), F.col("predicate"), F.col("object")), prefixes
+    found = n3.read_n3(spark, path)
+    return found.triples, found.prefixes.select("prefix", "iri").distinct()
+
+
+# -- prefixes ------------------------------------------------------------------------------------------
 
 
 def _prefix_of(column: str) -> Column:
@@ -208,13 +174,16 @@ def _prefix_of(column: str) -> Column:
 def expand_column(df: DataFrame, column: str, prefixes: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Replace ``prefix:local`` in one column; unknown prefixes, full IRIs and blank nodes stay.
 
-    ``prefixes`` has one row per ``prefix``.  One prefix is often shared by most rows, so the table is
-    broadcast while it is small and joined with salting beyond that.  ``source`` is a cheaper relation with
+    A prefix may have one IRI only, in however many rows; two are an error.  One prefix is often shared by most rows, so
+    the table is broadcast while its counted bytes are few and joined with salting beyond that.  ``source`` is a cheaper relation with
     the same column, in which to look for prefixes that are shared by many rows.
     """
     keyed = df.withColumn("__prefix", _prefix_of(column))
-    table = prefixes.select(F.col("prefix").alias("__prefix"), F.col("iri").alias("__iri"))
-    if fits(table, PREFIX_ROWS):
+    meant = prefixes.groupBy(F.col("prefix").alias("__prefix")).agg(F.min("iri").alias("__iri"), F.max("iri").alias("__last"))
+    several = F.concat(F.lit("several IRIs for the prefix "), F.col("__prefix"))
+    one = F.when(F.col("__iri") != F.col("__last"), F.raise_error(several)).otherwise(F.col("__iri"))
+    table = meant.select("__prefix", one.alias("__iri"))
+    if weight(prefixes.select("prefix", "iri")) <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(table), "__prefix", "left")
     else:
         heads = (source if source is not None else df).select(_prefix_of(column).alias("__prefix")).dropna()

@@ -47,14 +47,14 @@ class TripleStore:
 
     @classmethod
     def of(cls, df: DataFrame, prefixes: dict[str, str] | None = None) -> TripleStore:
-        """Store over input with possible duplicates."""
-        return cls(with_number(df).dropDuplicates(SPO), prefixes)
+        """Store over input with possible duplicates and short type predicates."""
+        return cls(with_number(long_type(df)).dropDuplicates(SPO), prefixes)
 
     @classmethod
     def from_rows(
         cls, spark: SparkSession, rows: Iterable[Sequence[str]], prefixes: dict[str, str] | None = None
     ) -> TripleStore:
-        return cls.of(long_type(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)), prefixes)
+        return cls.of(spark.createDataFrame([tuple(r) for r in rows], SCHEMA), prefixes)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, prefixes: dict[str, str] | None = None) -> TripleStore:

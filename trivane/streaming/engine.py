@@ -1,7 +1,7 @@
 """Continuous queries: window, rules, query, relation-to-stream, consumer.
 
-:class:`StreamQuery` is the plan.  ``evaluate`` replays recorded events with integer time as one batch job;
-``trivane.streaming.live`` runs windows on a Structured Streaming source.
+:class:`StreamPlan` is the plan and :class:`StreamQuery` the usual one.  ``evaluate`` replays recorded events with integer time as one batch job;
+``trivane.streaming.continuous`` runs the same plan on a Structured Streaming source.
 """
 
 from __future__ import annotations
@@ -13,44 +13,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.plans.rules import FACT, Rule, infer
-from trivane.query import Select
+from trivane.query import Around, Select
 from trivane.session import materialize
-from trivane.store import TripleStore
+from trivane.store import SPO, TripleStore
 from trivane.streaming.r2s import relation_to_stream
-from trivane.streaming.windows import OnWindowClose, WindowSpec, evaluations, window_contents
+from trivane.streaming.windows import OnWindowClose, WindowSpec, arrivals, evaluations, instant, window_contents
 
-INSTANT = "fire_ts"
 
+@dataclass(frozen=True, kw_only=True)
+class StreamPlan:
+    """When a window is evaluated and what happens to the answers; what is asked is up to the subclass.
+
+    ``batch`` names the column that numbers the batches of arrivals, for the batch tick.
+    """
 
-@dataclass(frozen=True)
-class StreamQuery:
     window: WindowSpec
-    query: Select
     reports: Sequence = (OnWindowClose(),)
-    rules: Sequence[Rule] = ()
-    background: TripleStore | None = None
     operator: str = "rstream"
     tick: str = "time"
     consumer: Callable[[DataFrame], None] | None = field(default=None, compare=False)
+    batch: str = "batch"
+
+    @property
+    def instant(self) -> list[str]:
+        """Columns that name an evaluation."""
+        return instant(self.tick)
+
+    def surroundings(self) -> TripleStore | None:
+        """Triples that are there at every evaluation."""
+        return None
+
+    def content(self, events: DataFrame, fired: DataFrame) -> DataFrame:
+        return window_contents(events, self.window, self.reports, self.tick, self.batch, fired=fired)
+
+    def answers(self, events: DataFrame, fired: DataFrame, around: TripleStore | None = None) -> DataFrame:
+        """Distinct result rows of the given evaluations, keyed by instant; ``around`` are the surroundings."""
+        raise NotImplementedError
+
+    def fired(self, events: DataFrame) -> DataFrame:
+        return evaluations(events, self.window, self.reports, self.tick, self.batch)
 
     def evaluate(self, events: DataFrame) -> DataFrame:
-        """Result rows keyed by ``fire_ts``."""
-        content = window_contents(events, self.window, self.reports, self.tick).select(INSTANT, *FACT)
-        prefixes = self.background.prefixes if self.background else {}
-        if self.rules:
-            content = materialize(content, "window-content")
-            fixed = self.background.df.select(*FACT) if self.background else None
-            added = infer(content, self.rules, carry=[INSTANT], background=fixed, prefixes=prefixes)
-            content = content.unionByName(added)
-        rows = self.query.run(TripleStore(content, prefixes), carry=[INSTANT]).distinct()
-        columns = [c for c in rows.columns if c != INSTANT]
-        fired = evaluations(events, self.window, self.reports, self.tick).select(INSTANT)
-        out = relation_to_stream(rows, fired, self.operator, columns)
+        """Result rows of a replay, keyed by instant: ``fire_ts``, and per arrival its number."""
+        if self.tick == "tuple":
+            events = arrivals(events)
+        fired = materialize(self.fired(events), "evaluations")
+        rows = self.answers(events, fired, self.surroundings())
+        columns = [c for c in rows.columns if c not in self.instant]
+        out = relation_to_stream(rows, fired, self.operator, columns, self.instant)
         if self.consumer is not None:
             self.consumer(out)
         return out
 
 
+@dataclass(frozen=True, kw_only=True)
+class StreamQuery(StreamPlan):
+    """A query, with rules, over window content next to static triples.
+
+    ``background`` holds the static triples; patterns and rules see them at every evaluation.
+    """
+
+    query: Select
+    rules: Sequence[Rule] = ()
+    background: TripleStore | None = None
+
+    def surroundings(self) -> TripleStore | None:
+        """The background with what the rules conclude from it alone."""
+        if self.background is None or not self.rules:
+            return self.background
+        store = self.background
+        added = infer(store.df.select(*FACT), self.rules, prefixes=store.prefixes, tables=store.tables)
+        return TripleStore(store.df.select(*FACT).unionByName(added), store.prefixes)
+
+    def answers(self, events: DataFrame, fired: DataFrame, around: TripleStore | None = None) -> DataFrame:
+        content = self.content(events, fired).select(*self.instant, *FACT)
+        prefixes = around.prefixes if around else {}
+        fixed = around.df.select(*FACT) if around else None
+        if self.rules:
+            content = materialize(content, "window-content")
+            added = infer(content, self.rules, carry=self.instant, background=fixed, prefixes=prefixes)
+            content = content.unionByName(added)
+        if fixed is None:
+            return self.query.run(TripleStore(content, prefixes), carry=self.instant).distinct()
+        # A triple that is there anyway counts once.
+        content = content.join(fixed.select(*SPO), SPO, "left_anti").select(*self.instant, *FACT)
+        there = Around(fixed, fired.select(*self.instant))
+        return self.query.run(TripleStore(content, prefixes), self.instant, there).distinct()
+
+
 class StreamQueryBuilder:
     """Collects the parts of a :class:`StreamQuery`."""
 
@@ -61,15 +111,16 @@ class StreamQueryBuilder:
         self._background: TripleStore | None = None
         self._query: Select | None = None
         self._operator = "rstream"
-        self._tick = "time"
+        self._tick, self._batch = "time", "batch"
         self._consumer: Callable[[DataFrame], None] | None = None
 
     def add_report_strategy(self, report) -> StreamQueryBuilder:
         self._reports.append(report)
         return self
 
-    def add_tick(self, tick: str) -> StreamQueryBuilder:
-        self._tick = tick
+    def add_tick(self, tick: str, batch: str = "batch") -> StreamQueryBuilder:
+        """``time``, ``tuple`` or ``batch``; the column ``batch`` numbers batches in a replay."""
+        self._tick, self._batch = tick, batch
         return self
 
     def add_triples(self, store: TripleStore) -> StreamQueryBuilder:
@@ -96,14 +147,15 @@ class StreamQueryBuilder:
         if self._query is None:
             raise ValueError("a stream query needs a query")
         return StreamQuery(
-            self._window,
-            self._query,
-            self._reports or [OnWindowClose()],
-            self._rules,
-            self._background,
-            self._operator,
-            self._tick,
-            self._consumer,
+            window=self._window,
+            query=self._query,
+            reports=self._reports or [OnWindowClose()],
+            rules=self._rules,
+            background=self._background,
+            operator=self._operator,
+            tick=self._tick,
+            consumer=self._consumer,
+            batch=self._batch,
         )
 
 

@@ -3,7 +3,8 @@
 Events are timestamped triples ``(s, p, o, o_num, ts)`` with an integer ``ts``.  Windows close on multiples
 of the slide.  An evaluation happens at a distinct event time and sees what arrived before that time.
 Because windows lie on a fixed grid, the window that an evaluation reports follows from the event time and
-its predecessor by arithmetic; no window has to be kept open or searched.
+its predecessor by arithmetic; no window has to be kept open or searched.  An evaluation may also be
+called for by every arrival or by the end of every batch of arrivals.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivane.functions.durations import seconds
-from trivane.operators.sequence import with_previous
+from trivane.operators.sequence import numbered, with_previous
 
 SPO = ["s", "p", "o"]
 
@@ -96,21 +97,61 @@ def _has(reports: Sequence, kind: type) -> bool:
     return any(isinstance(r, kind) for r in reports)
 
 
-# What may drive evaluations.  Only time does; the other two never evaluate anything.
+# What may drive evaluations.
 TICKS = ("time", "tuple", "batch")
+# The number of an arrival, counted in the order of evaluation.
+ARRIVAL = "fire_no"
+
+
+def instant(tick: str) -> list[str]:
+    """Columns that name an evaluation; the last one orders evaluations."""
+    return ["fire_ts", ARRIVAL] if tick == "tuple" else ["fire_ts"]
+
+
+def arrivals(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Number the events by key, time and triple, so that every arrival is an instant of its own."""
+    if ARRIVAL in events.columns:
+        return events
+    return numbered(events, [F.col(c) for c in (*keys, "ts", *SPO)], ARRIVAL, "arrivals")
+
+
+def _points(events: DataFrame, tick: str, batch: str, keys: Sequence[str]) -> DataFrame:
+    """Instants that may be evaluated: ``(keys, ts, previous)``, per arrival also its number.
+
+    previous is the time of the event before; the arrival before may have the same time.
+    """
+    points = with_previous(events, "ts", keys)
+    if tick == "batch":
+        ends = events.groupBy(*keys, batch).agg(F.max("ts").alias("ts")).select(*keys, "ts").distinct()
+        return points.join(ends, [*keys, "ts"], "left_semi")
+    if tick == "tuple":
+        first = events.groupBy(*keys, "ts").agg(F.min(ARRIVAL).alias("__first"))
+        each = events.select(*keys, "ts", ARRIVAL).join(points.join(first, [*keys, "ts"]), [*keys, "ts"])
+        same = F.col(ARRIVAL) > F.col("__first")
+        return each.withColumn("previous", F.when(same, F.col("ts")).otherwise(F.col("previous"))).drop("__first")
+    return points
 
 
 def evaluations(
-    events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWindowClose(),), tick: str = "time"
+    events: DataFrame,
+    spec: WindowSpec,
+    reports: Sequence = (OnWindowClose(),),
+    tick: str = "time",
+    batch: str = "batch",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """``(fire_ts, previous, w_open, w_close)``: at most one evaluation per distinct event time.
+    """``(keys, fire_ts, previous, w_open, w_close)``: the instants at which a window is reported, and which.
 
-    All reports have to agree; of the windows that qualify the latest one is evaluated.
+    The tick says which instants there are: each distinct event time, each arrival (``fire_no`` then numbers them), or the
+    last event time of each batch, named by the column ``batch``.  All reports have to agree; of the windows that qualify
+    the latest one is evaluated.  With ``keys`` every key is a stream of its own.
     """
     if tick not in TICKS:
         raise ValueError(f"unknown tick {tick!r}")
+    if tick == "tuple":
+        events = arrivals(events, keys)
     holds_something = _has(reports, (OnWindowClose, NonEmptyContent, OnContentChange))
-    points = with_previous(events, "ts").filter(F.col("ts") > 0)
+    points = _points(events, tick, batch, keys).filter(F.col("ts") > 0)
     before, now = F.col("previous"), F.col("ts")
     # Windows that hold something were fed by the event before; the others are opened by this event.
     anchor = before if holds_something else now
@@ -123,32 +164,59 @@ def evaluations(
         if isinstance(report, Periodic):
             fired = fired.filter(now % report.period == 0)
     if _has(reports, OnContentChange):
-        repeats = with_previous(events, "ts", SPO, "same_before")
-        newest = repeats.groupBy(F.col("ts").alias("previous")).agg(
-            F.min(F.coalesce(F.col("same_before"), F.lit(-(2**62)))).alias("oldest")
-        )
-        fired = fired.join(newest, "previous").filter(F.col("oldest") < F.col("w_close") - spec.width)
-    if tick != "time":
-        fired = fired.limit(0)
+        fired = _changed(fired, events, spec, tick, keys)
     return fired.select(
-        now.alias("fire_ts"), before.alias("previous"), spec.open_of(F.col("w_close")).alias("w_open"), "w_close"
+        *keys,
+        now.alias("fire_ts"),
+        *([ARRIVAL] if tick == "tuple" else []),
+        before.alias("previous"),
+        spec.open_of(F.col("w_close")).alias("w_open"),
+        "w_close",
     )
 
 
+def _changed(fired: DataFrame, events: DataFrame, spec: WindowSpec, tick: str, keys: Sequence[str]) -> DataFrame:
+    """Evaluations before which the last event put something new into the window."""
+    repeats = with_previous(events, "ts", [*keys, *SPO], "same_before")
+    oldest = F.coalesce(F.col("same_before"), F.lit(-(2**62)))
+    if tick == "tuple":
+        # Of equal triples at one time only the first arrival can be new; the next arrival is the one that sees it.
+        first = events.groupBy(*keys, "ts", *SPO).agg(F.min(ARRIVAL).alias("__first"))
+        newest = repeats.join(first, [*keys, "ts", *SPO]).select((F.col("__first") + 1).alias(ARRIVAL), oldest.alias("oldest"))
+        found = fired.join(newest, ARRIVAL)
+    else:
+        newest = repeats.groupBy(*keys, F.col("ts").alias("previous")).agg(F.min(oldest).alias("oldest"))
+        found = fired.join(newest, [*keys, "previous"])
+    return found.filter(F.col("oldest") < F.col("w_close") - spec.width)
+
+
 def window_contents(
-    events: DataFrame, spec: WindowSpec, reports: Sequence = (OnWindowClose(),), tick: str = "time"
+    events: DataFrame,
+    spec: WindowSpec,
+    reports: Sequence = (OnWindowClose(),),
+    tick: str = "time",
+    batch: str = "batch",
+    keys: Sequence[str] = (),
+    fired: DataFrame | None = None,
 ) -> DataFrame:
-    """Content of every evaluated window: ``(fire_ts, w_open, w_close, s, p, o, o_num)``.
+    """Content of every evaluated window: ``(keys, instant, w_open, w_close, s, p, o, o_num)``.
 
     The events join the evaluations on the window's close.  A window that holds a large share of the
     events is one join key; AQE splits that partition, since the other side has one row per evaluation.
+    ``fired`` are the evaluations, if they are known already.
     """
-    fired = evaluations(events, spec, reports, tick)
-    inside = assign(events, spec).drop("w_open").join(fired, "w_close", "inner")
-    keys = ["fire_ts", "w_open", "w_close"]
-    return (
-        inside.filter(F.col("ts") <= F.col("previous")).select(*keys, *SPO, "o_num").dropDuplicates([*keys, *SPO])
-    )
+    if tick == "tuple":
+        events = arrivals(events, keys)
+    if fired is None:
+        fired = evaluations(events, spec, reports, tick, batch, keys)
+    names = [*keys, *instant(tick), "w_open", "w_close"]
+    placed = assign(events, spec).drop("w_open")
+    if tick == "tuple":
+        inside = placed.withColumnRenamed(ARRIVAL, "__no").join(fired, [*keys, "w_close"], "inner")
+        inside = inside.filter(F.col("__no") < F.col(ARRIVAL))
+    else:
+        inside = placed.join(fired, [*keys, "w_close"], "inner").filter(F.col("ts") <= F.col("previous"))
+    return inside.select(*names, *SPO, "o_num").dropDuplicates([*names, *SPO])
 
 
 def time_range(events: DataFrame, start: int, end: int) -> DataFrame:

@@ -139,6 +139,32 @@ def kg_backward(spark, sf):
     return RuleBase(store(spark, sf, "part"), [*ABOVE, unrelated]).prove(("?x", "above", "?y"))
 
 
+@query("kg_backward_bound", recursive(*PART_ABOVE, select="SELECT y FROM up WHERE x = 'part/190'"))
+def kg_backward_bound(spark, sf):
+    """A bound subject: only the parts above this one are visited, of a rule that doubles paths."""
+    return RuleBase(store(spark, sf, "part"), ABOVE_DOUBLING).prove(("part/190", "above", "?y"))
+
+
+PEERS = [
+    Rule([("?x", "parent", "?y"), ("?z", "parent", "?y")], [("?x", "peer", "?z")]),
+    Rule([("?x", "parent", "?u"), ("?u", "peer", "?v"), ("?z", "parent", "?v")], [("?x", "peer", "?z")]),
+]
+
+
+@query(
+    "kg_backward_same_level",
+    recursive(
+        PART_EDGE,
+        """asked(x, d) AS (SELECT 'part/50', 0 UNION SELECT e.y, d + 1 FROM asked a JOIN edge e ON e.x = a.x)""",
+        """level(z, d) AS (SELECT x, d FROM asked UNION SELECT e.x, l.d - 1 FROM level l JOIN edge e ON e.y = l.z WHERE l.d > 0)""",
+        select="SELECT DISTINCT z FROM level WHERE d = 0",
+    ),
+)
+def kg_backward_same_level(spark, sf):
+    """Parts as deep as a given one, by a rule that asks for its own goal with other bindings."""
+    return RuleBase(tree(spark, sf), PEERS).prove(("part/50", "peer", "?z"))
+
+
 EVERY_USE = ("nation", "region", "customer", "part")
 
 

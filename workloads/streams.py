@@ -12,7 +12,7 @@ from trivane.builder import TripleQuery
 from trivane.functions.expressions import compare
 from trivane.operators.sequence import numbered
 from trivane.plans.rules import Rule
-from trivane.query import Select, maximum
+from trivane.query import Aggregate, Select, maximum
 from trivane.store import TripleStore
 from trivane.streaming.engine import StreamQueryBuilder, retrieve, windows_joined
 from trivane.streaming.r2s import relation_to_stream
@@ -156,6 +156,55 @@ def rsp_tick_time(spark, sf):
     return evaluations(events(spark, sf), WindowSpec(60, 15))
 
 
+# Arrivals in the order of evaluation, each with the time of the one before it.
+ARRIVALS = """arr AS (SELECT *, row_number() OVER (ORDER BY ts, s, p, o) - 1 AS no, lag(ts) OVER (ORDER BY ts, s, p, o) AS prev
+    FROM events_t)"""
+
+
+@query(
+    "rsp_tick_tuple",
+    f"""WITH {EVENTS_SQL}, {ARRIVALS},
+        opened AS (SELECT no, prev, ts, c AS w_close, greatest(c - 30, 0) AS w_open FROM arr,
+          unnest(generate_series(cast(ceil(prev / 10.0) AS bigint) * 10, prev + 30, 10)) g(c) WHERE c < ts),
+        fired AS (SELECT no AS fire_no, any_value(ts) AS fire_ts, max(w_close) AS w_close, max(w_open) AS w_open FROM opened GROUP BY 1)
+        SELECT fire_ts, fire_no, w_open, w_close, count(DISTINCT (s, p, o)) AS n FROM fired f JOIN arr a
+          ON a.no < f.fire_no AND a.ts BETWEEN w_open AND w_close GROUP BY ALL""",
+)
+def rsp_tick_tuple(spark, sf):
+    """Every arrival is an instant: several at one time report the same closed window, each for itself."""
+    content = window_contents(events(spark, sf), WindowSpec(30, 10), [OnWindowClose()], "tuple")
+    return content.groupBy("fire_ts", "fire_no", "w_open", "w_close").agg(F.count("*").alias("n"))
+
+
+@query(
+    "rsp_tick_tuple_change",
+    f"""WITH {COARSE}, events_t AS (SELECT * FROM coarse), {ARRIVALS},
+        opened AS (SELECT no, ts, c AS w_close, greatest(c - 20, 0) AS w_open FROM arr,
+          unnest(generate_series(cast(ceil(prev / 10.0) AS bigint) * 10, prev + 20, 10)) g(c)),
+        changed AS (SELECT o.* FROM opened o JOIN arr a ON a.no = o.no - 1 WHERE NOT EXISTS (SELECT 1 FROM arr b
+          WHERE b.no < a.no AND b.s = a.s AND b.p = a.p AND b.o = a.o AND b.ts BETWEEN o.w_open AND o.w_close))
+        SELECT no AS fire_no, any_value(ts) AS fire_ts, max(w_close) AS w_close, max(w_open) AS w_open FROM changed GROUP BY 1""",
+)
+def rsp_tick_tuple_change(spark, sf):
+    """Arrivals after which a window holds something it did not hold, per arrival."""
+    fired = evaluations(coarse_events(spark, sf), WindowSpec(20, 10), [OnContentChange()], "tuple")
+    return fired.select("fire_no", "fire_ts", "w_open", "w_close")
+
+
+@query(
+    "rsp_tick_batch",
+    f"""WITH {EVENTS_SQL}, {_windows_sql(60, 15)},
+        ends AS (SELECT DISTINCT max(ts) AS ts FROM (SELECT *, cast(o AS bigint) // 50 AS b FROM events_t) GROUP BY b),
+        fired AS (SELECT p.ts AS fire_ts, p.prev, max(o.w_close) AS w_close, max(o.w_open) AS w_open
+          FROM points p JOIN ends USING (ts) JOIN opened o ON o.ts = p.prev WHERE o.w_close < p.ts GROUP BY 1, 2),
+        {CONTENT} {SIZES}""",
+)
+def rsp_tick_batch(spark, sf):
+    """Fifty messages are a batch, and its last event time is its instant."""
+    batched = events(spark, sf).withColumn("batch", F.floor(F.col("o").cast("bigint") / 50))
+    return _sizes(window_contents(batched, WindowSpec(60, 15), [OnWindowClose()], "batch"))
+
+
 # -- relation to stream --------------------------------------------------------------------------------
 
 ERRORS = "res AS (SELECT DISTINCT fire_ts, s FROM content WHERE p = 'error')"
@@ -235,6 +284,36 @@ def rsp_window_static(spark, sf):
     return StreamQueryBuilder(60, 60).add_query(asked).add_triples(background).build().evaluate(events(spark, sf))
 
 
+@query(
+    "rsp_window_background",
+    stream_sql(
+        """SELECT fire_ts, s AS u, c_mktsegment AS g FROM (SELECT DISTINCT fire_ts, s FROM content WHERE p = 'error') c
+           JOIN customer ON s = concat('user/', c_custkey)
+           JOIN customer boss ON boss.c_custkey = 1 AND boss.c_mktsegment = customer.c_mktsegment""",
+        60, 60,
+    ),
+)
+def rsp_window_background(spark, sf):
+    """One pattern set over window content and static triples, some of it met by static triples alone."""
+    asked = Select("?u", "?g").where(("?u", "error", "?e"), ("?u", "segment", "?g"), ("user/1", "segment", "?g"))
+    return StreamQueryBuilder(60, 60).add_query(asked).add_triples(profiles(spark, sf)).build().evaluate(events(spark, sf))
+
+
+@query(
+    "rsp_window_background_total",
+    stream_sql(
+        """SELECT fire_ts, g, count(*) AS n FROM (SELECT DISTINCT fire_ts, s, c_mktsegment AS g, o_num, o FROM content JOIN customer
+           ON s = concat('user/', c_custkey) WHERE p = 'purchase') GROUP BY fire_ts, g""",
+        60, 60,
+    ),
+)
+def rsp_window_background_total(spark, sf):
+    """Aggregates per window over solutions of both kinds."""
+    asked = Select("?g", "?n").where(("?u", "purchase", "?e"), ("?u", "segment", "?g"))
+    asked = asked.group_by("?g").agg(Aggregate(F.count, "?e", "n"))
+    return StreamQueryBuilder(60, 60).add_query(asked).add_triples(profiles(spark, sf)).build().evaluate(events(spark, sf))
+
+
 @query(
     "rsp_window_rule",
     stream_sql(
@@ -329,6 +408,20 @@ def qb_stream_istream(spark, sf):
     return asked.with_stream_operator("istream").stream_results(events(spark, sf))
 
 
+@query(
+    "qb_stream_tuple",
+    f"""WITH {EVENTS_SQL}, {ARRIVALS},
+        opened AS (SELECT no, ts, c AS w_close, greatest(c - 20, 0) AS w_open FROM arr,
+          unnest(generate_series(cast(ceil(prev / 20.0) AS bigint) * 20, prev + 20, 20)) g(c) WHERE c < ts),
+        fired AS (SELECT no AS fire_no, any_value(ts) AS fire_ts, max(w_close) AS w_close, max(w_open) AS w_open FROM opened GROUP BY 1)
+        SELECT DISTINCT fire_ts, fire_no, s, p, o FROM fired f JOIN arr a ON a.no < f.fire_no AND a.ts BETWEEN w_open AND w_close
+          WHERE p = 'error'""",
+)
+def qb_stream_tuple(spark, sf):
+    asked = TripleQuery(TripleStore(events(spark, sf))).with_predicate("error").window(20, 20).with_tick_strategy("tuple")
+    return asked.stream_results(events(spark, sf))
+
+
 @query(
     "rsp_window_aggregate",
     stream_sql("SELECT fire_ts, p, max(o_num) AS peak FROM content GROUP BY fire_ts, p", 60, 60),
