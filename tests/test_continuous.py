@@ -113,7 +113,7 @@ def test_late_events_change_the_replay(spark):
 
 
 def test_static_triples_and_rules(spark, tmp_path, make_store):
-    rows = batches(4, late=False)
+    rows = batches(4, count=3, late=False)
     places = make_store([("u0", "in", "hall"), ("u1", "in", "hall"), ("u2", "in", "yard"), ("hall", "in", "house"), ("u1", "temp", "v0")])
     rules = [
         Rule([("?x", "in", "?y"), ("?y", "in", "?z")], [("?x", "in", "?z")]),

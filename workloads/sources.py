@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trivane.query import Select
 from trivane.session import new_step_dir
-from trivane.sources import rdfxml, text
+from trivane.sources import n3, rdfxml, text
 from trivane.sources.feeds import json_fields, to_triples
+from trivane.store import TripleStore
 from workloads.registry import query
 from workloads.tables import store, table, with_triples
 
@@ -149,3 +151,92 @@ def events_to_triples(spark, sf):
     messages = json_fields(table(spark, sf, "events"), "props", "k int")
     fields = {"type": F.col("event_type"), "user": F.expr("concat('user/', user_id)"), "k": F.col("k")}
     return to_triples(messages, F.expr("concat('event/', event_id)"), fields).select("s", "p", "o")
+
+
+@query(
+    "n3_two_files",
+    """SELECT 'http://nations/' || n_nationkey AS s, 'http://nations/name' AS p, n_name AS o FROM nation
+       UNION ALL SELECT 'http://nations/' || n_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://nations/Place' FROM nation
+       UNION ALL SELECT 'http://regions/' || r_regionkey, 'http://regions/name', r_name FROM region
+       UNION ALL SELECT 'http://regions/' || r_regionkey, 'http://regions/says', 'a. b; c, # d' FROM region
+       UNION ALL SELECT 'http://later/' || r_regionkey, 'http://later/name', r_name FROM region""",
+)
+def n3_two_files(spark, sf):
+    """Two sets of files use one prefix for different IRIs, one of them changes it halfway; statements share lines."""
+    folder = new_step_dir(spark, "n3-two")
+    ex = lambda iri: F.lit(f"@prefix ex: <{iri}> . ")
+    nations = table(spark, sf, "nation").select(
+        F.concat(ex("http://nations/"), F.lit("ex:"), "n_nationkey", F.lit(' a ex:Place; ex:name "'), "n_name", F.lit('".\r')).alias("value")
+    )
+    regions = table(spark, sf, "region").select(
+        F.concat(
+            ex("http://regions/"), F.lit("ex:"), "r_regionkey", F.lit(' ex:name "'), "r_name", F.lit('" ; # known\n ex:says "a. b; c, # d" . '),
+            ex("http://later/"), F.lit("ex:"), "r_regionkey", F.lit(' ex:name "'), "r_name", F.lit('" .'),
+        ).alias("value")
+    )
+    nations.write.text(f"{folder}/nations")
+    regions.write.text(f"{folder}/regions")
+    return n3.read_n3(spark, f"{folder}/*").triples.select("s", "p", "o")
+
+
+@query(
+    "n3_rejects",
+    """SELECT 'ex:' || c_custkey || ' ex:name .' AS value FROM customer
+       UNION ALL SELECT 'ex:' || c_custkey || ' ex:p ex:b ex:c .' FROM customer WHERE c_nationkey < 5""",
+)
+def n3_rejects(spark, sf):
+    """Statements of two and of four terms, among good ones on the same lines."""
+    short = F.concat(F.lit("ex:"), "c_custkey", F.lit(" ex:name . ex:ok ex:is ex:good . "))
+    long = F.when(F.col("c_nationkey") < 5, F.concat(F.lit("ex:"), "c_custkey", F.lit(" ex:p ex:b ex:c ."))).otherwise("")
+    path = written(table(spark, sf, "customer").select(F.concat(short, long).alias("value")), "n3-bad")
+    return n3.read_n3(spark, path).rejects.select("value")
+
+
+@query(
+    "rdfxml_iri_roundtrip",
+    with_triples(
+        f"""SELECT '{EX}' || s AS s, '{EX}terms#' || p AS p, o, 'literal' AS o_kind FROM triples
+            UNION ALL SELECT '{EX}' || s, 'http://other.org/' || p, '{EX}' || o, 'iri' FROM triples WHERE p IN ('partOf', 'placedBy')""",
+        "region", "nation", "customer",
+    ),
+)
+def rdfxml_iri_roundtrip(spark, sf):
+    """Predicates that are IRIs of two namespaces, only one of which the document declares; links and text."""
+    data = store(spark, sf, "region", "nation", "customer").df
+    iri = lambda base, c: F.concat(F.lit(base), F.col(c))
+    words = data.select(iri(EX, "s").alias("s"), iri(f"{EX}terms#", "p").alias("p"), "o", F.lit("literal").alias("o_kind"))
+    links = data.filter("p IN ('partOf', 'placedBy')").select(
+        iri(EX, "s").alias("s"), iri("http://other.org/", "p").alias("p"), iri(EX, "o").alias("o"), F.lit("iri").alias("o_kind")
+    )
+    path = new_step_dir(spark, "rdfxml-iri")
+    rdfxml.write_rdfxml(words.union(links), path, {"t": f"{EX}terms#"})
+    return rdfxml.scan_rdfxml(spark, path).triples.select("s", "p", "o", "o_kind")
+
+
+@query("rdfxml_rejects", "SELECT c_name AS name, 'mismatched tag' AS fault FROM customer WHERE c_nationkey < 5")
+def rdfxml_rejects(spark, sf):
+    """One broken element in five or so; the others of the same file are read."""
+    end = F.when(F.col("c_nationkey") < 5, "</t:other>").otherwise("</t:name>")
+    element = F.concat(
+        F.lit("<rdf:Description rdf:about='c'><t:name>"), "c_name", end, F.lit(rdfxml.DESCRIPTION_END)
+    )
+    path = written(table(spark, sf, "customer").select(element.alias("value")), "rdfxml-bad")
+    found = rdfxml.scan_rdfxml(spark, path).rejects
+    return found.select(F.regexp_extract("value", "<t:name>([^<]*)<", 1).alias("name"), F.split_part("fault", F.lit(":"), F.lit(1)).alias("fault"))
+
+
+@query("type_shorthand", "SELECT concat('part/', p_partkey) AS x FROM part WHERE p_size > 25")
+def type_shorthand(spark, sf):
+    """``a`` in loaded statements and in the query both mean the type predicate."""
+    kind = F.when(F.col("p_size") > 25, "large").otherwise("small")
+    lines = table(spark, sf, "part").select(F.concat(F.lit("<part/"), "p_partkey", F.lit("> a <"), kind, F.lit("> .")).alias("value"))
+    loaded = TripleStore.of(n3.read_n3(spark, written(lines, "n3-types")).triples)
+    return Select("?x").where(("?x", "a", "large")).run(loaded)
+
+
+@query("store_save_load", with_triples("SELECT s, p, o, o_num FROM triples", *SHOP))
+def store_save_load(spark, sf):
+    """A store saved by predicate and read back."""
+    path = new_step_dir(spark, "saved")
+    store(spark, sf, *SHOP).save(path, rows_per_file=5000)
+    return TripleStore.load(spark, path).df.select("s", "p", "o", "o_num")

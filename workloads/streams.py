@@ -287,7 +287,7 @@ def rsp_window_static(spark, sf):
 @query(
     "rsp_window_background",
     stream_sql(
-        """SELECT fire_ts, s AS u, c_mktsegment AS g FROM (SELECT DISTINCT fire_ts, s FROM content WHERE p = 'error') c
+        """SELECT fire_ts, s AS u, customer.c_mktsegment AS g FROM (SELECT DISTINCT fire_ts, s FROM content WHERE p = 'error') c
            JOIN customer ON s = concat('user/', c_custkey)
            JOIN customer boss ON boss.c_custkey = 1 AND boss.c_mktsegment = customer.c_mktsegment""",
         60, 60,
