@@ -297,3 +297,37 @@ def test_goal_over_rules_that_cannot_be_steered(make_store):
     assert tuples(RuleBase(store, [every]).prove(("a", "joined", "?y"))) == [("b",)]
     louder = Rule([("?x", "p", "?y")], [("?x", "loud", "?z")], transform=lambda df: df.withColumn("z", F.upper("y")))
     assert tuples(RuleBase(store, [louder]).prove(("a", "loud", "?z"))) == [("B",)]
+
+
+def test_minimality_looks_at_numbers_without_text(spark):
+    """Objects that have a number and no text: the pair makes the larger conflict not minimal, so a r z stays."""
+    rows = [("a", "p", None, 5.0), ("a", "q", None, 1.0), ("a", "r", "z", None)]
+    for text in (None, "5"):
+        facts = spark.createDataFrame(
+            [(s, p, o if o else text and {5.0: "5", 1.0: "1"}[n], n) for s, p, o, n in rows], "s string, p string, o string, o_num double"
+        )
+        pair = Denial([("?x", "p", "?m"), ("?x", "q", "?n")], [compare("?m", ">", "?n")])
+        three = Denial([("?x", "p", "?m"), ("?x", "q", "?n"), ("?x", "r", "?z")])
+        assert tuples(consistent_core(facts, [pair, three]), "s", "p", "o") == [("a", "r", "z")]
+
+
+def test_repairs_of_numbers_without_text(spark):
+    facts = spark.createDataFrame([("a", "p", None, 5.0), ("a", "p", None, 7.0), ("a", "q", "z", None)], "s string, p string, o string, o_num double")
+    kept = repair(facts, [Denial([("?x", "p", "?m")], [compare("?m", ">", 6)])])
+    assert tuples(kept, "p", "o_num") == [("p", 5.0), ("q", None)]
+
+
+def test_a_chain_of_conflicts_takes_few_rounds_in_digest_order(make_store, monkeypatch):
+    """Text order settles two facts of such a chain a round; the digest's order settles a share of all."""
+    from trivane.plans import constraints
+
+    chain = make_store([(f"n{i:03d}", "next", f"n{i + 1:03d}") for i in range(120)]).df
+    denial = Denial([("?a", "next", "?b"), ("?b", "next", "?c")])
+    rounds = []
+    plain = constraints.materialize
+    monkeypatch.setattr(constraints, "materialize", lambda df, label: rounds.append(label) or plain(df, label))
+    gone = {r["s"] for r in constraints.removed_by_repair(chain, [denial], by="digest").collect()}
+    assert rounds.count("blocked") <= 10
+    kept = {int(r["s"][1:]) for r in chain.collect()} - {int(s[1:]) for s in gone}
+    assert not any(k + 1 in kept for k in kept)
+    assert all(k - 1 in kept or k + 1 in kept for k in range(120) if k not in kept)

@@ -48,9 +48,20 @@ def is_violated(facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes
     return any(not violations(facts, d, prefixes).isEmpty() for d in denials)
 
 
-def ranked(facts: DataFrame, order: int = 0) -> DataFrame:
-    """Facts with their place in the deletion order: a lower rank is kept first."""
-    return facts.select(*FACT, F.struct(F.lit(order).alias("order"), *SPO).alias(RANK))
+# What orders the facts of a repair: their text, or a digest of it.
+ORDERS = ("text", "digest")
+
+
+def ranked(facts: DataFrame, order: int = 0, by: str = "text") -> DataFrame:
+    """Facts with their place in the deletion order: a lower rank is kept first.
+
+    The rank names the fact, so it holds the number too: objects may have a number and no text.
+    """
+    if by not in ORDERS:
+        raise ValueError(f"unknown order {by!r}")
+    words = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FACT])
+    digest = [F.md5(words).alias("digest")] if by == "digest" else []
+    return facts.select(*FACT, F.struct(F.lit(order).alias("order"), *digest, *FACT).alias(RANK))
 
 
 def _atom(facts: DataFrame, atom: Pattern, name: str) -> DataFrame:
@@ -209,7 +220,7 @@ def _without_pairs(members: DataFrame, size: int, pair: Denial, prefixes) -> Dat
         for j in range(size):
             if i == j:
                 continue
-            tests, bound = [F.col(f"{RANK}{i}") != F.col(f"{RANK}{j}")], {}
+            tests, bound, numbers = [F.col(f"{RANK}{i}") != F.col(f"{RANK}{j}")], {}, {}
             for atom, at in ((first, i), (second, j)):
                 for place, term in atom.terms():
                     value = F.col(f"{RANK}{at}.{place}")
@@ -219,9 +230,10 @@ def _without_pairs(members: DataFrame, size: int, pair: Denial, prefixes) -> Dat
                         tests.append(bound[term[1:]] == value)
                     else:
                         bound[term[1:]] = value
+                        numbers[term[1:]] = F.col(f"{RANK}{at}.o_num") if place == "o" else as_number(value)
             row = kept
             for name in names:
-                row = row.withColumn(name, bound[name]).withColumn(twin(name), bound[name].try_cast("double"))
+                row = row.withColumn(name, bound[name]).withColumn(twin(name), numbers[name])
             condition = reduce(lambda a, b: a & b, [*tests, *pair.filters])
             row = row.filter(~F.coalesce(condition, F.lit(False)))
             kept = row.select(*members.columns)
@@ -265,19 +277,28 @@ def _settle(open_facts: DataFrame, settled: DataFrame, denials: Sequence[Denial]
     return gone.all()
 
 
-def removed_by_repair(facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes | None = None) -> DataFrame:
-    """Facts a deterministic, subset-maximal repair deletes: lower triples in text order are kept first.
+def removed_by_repair(
+    facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes | None = None, by: str = "text"
+) -> DataFrame:
+    """Facts a deterministic, subset-maximal repair deletes: lower triples are kept first.
 
-    The repair is maximal, since each deleted fact conflicts with kept ones; it need not be of maximum
-    size, which would take a search over all subsets.
+    The order is that of the text, or that of a digest.  A fact waits for those before it that it conflicts with, and
+    they for others: in text order such a chain may be as long as the data make it, in the order of a digest it is short,
+    whatever the data, since every part of a chain has a first fact of its own.  The repair is maximal, since each
+    deleted fact conflicts with kept ones; it need not be of maximum size, which would take a search over all subsets.
     """
-    numbered = ranked(facts)
+    return _removed(facts, denials, prefixes, by).select(f"{RANK}.s", f"{RANK}.p", f"{RANK}.o")
+
+
+def _removed(facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes | None, by: str) -> DataFrame:
+    """Ranks of the facts that a repair deletes."""
+    numbered = ranked(facts, by=by)
     alone = materialize(_alone(numbered, denials, prefixes), "alone")
     sound = _drop_ranks(numbered, alone)
     involved = sound.join(_touched(sound, denials, prefixes), RANK, "left_semi")
     nothing = numbered.limit(0)
     rejected = _settle(involved, nothing, denials, prefixes)
-    return alone.unionByName(rejected).select(f"{RANK}.s", f"{RANK}.p", f"{RANK}.o")
+    return alone.unionByName(rejected)
 
 
 def _touched(facts: DataFrame, denials: Sequence[Denial], prefixes) -> DataFrame:
@@ -290,25 +311,31 @@ def _touched(facts: DataFrame, denials: Sequence[Denial], prefixes) -> DataFrame
     return union_all(parts).distinct()
 
 
-def repair(facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes | None = None) -> DataFrame:
+def repair(
+    facts: DataFrame, denials: Sequence[Denial], prefixes: Prefixes | None = None, by: str = "text"
+) -> DataFrame:
     """A consistent, subset-maximal set of the given facts."""
-    gone = materialize(removed_by_repair(facts, denials, prefixes), "repair")
-    return facts.select(*FACT).join(gone, SPO, "left_anti")
+    gone = materialize(_removed(facts, denials, prefixes, by), "repair")
+    return _drop_ranks(ranked(facts, by=by), gone).select(*FACT)
 
 
 def infer_with_repair(
-    facts: DataFrame, rules: Sequence[Rule], denials: Sequence[Denial], prefixes: Prefixes | None = None
+    facts: DataFrame,
+    rules: Sequence[Rule],
+    denials: Sequence[Denial],
+    prefixes: Prefixes | None = None,
+    by: str = "text",
 ) -> DataFrame:
     """Repair the given facts, then derive, dropping each conclusion that conflicts with what is kept.
 
-    Conclusions of one round are decided in text order, after all known facts.
+    Conclusions of one round are decided in the given order, after all known facts.
     """
-    start = materialize(repair(facts, denials, prefixes), "consistent")
+    start = materialize(repair(facts, denials, prefixes, by), "consistent")
 
     def accept(candidates: DataFrame, known: DataFrame) -> DataFrame:
-        fresh = ranked(candidates, 1)
+        fresh = ranked(candidates, 1, by)
         fresh = _drop_ranks(fresh, materialize(_alone(fresh, denials, prefixes), "alone"))
-        rejected = _settle(fresh, ranked(known, 0), denials, prefixes)
+        rejected = _settle(fresh, ranked(known, 0, by), denials, prefixes)
         return _drop_ranks(fresh, rejected).select(*FACT)
 
     return infer(start, rules, accept=accept, prefixes=prefixes)

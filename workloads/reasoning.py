@@ -303,6 +303,54 @@ def kg_infer_repair(spark, sf):
     return infer_with_repair(store(spark, sf, "orders").df, [rule], [URGENT_DONE]).select(*SPO)
 
 
+def dear_done():
+    return Denial([("?o", "status", "F"), ("?o", "priority", "1-URGENT"), ("?o", "total", "?t")], [compare("?t", ">", 300000)])
+
+
+@query(
+    "kg_repair_three",
+    """SELECT concat('order/', o_orderkey) AS s, 'total' AS p, cast(cast(o_totalprice AS decimal(18,2)) AS varchar) AS o FROM orders
+       WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000""",
+)
+def kg_repair_three(spark, sf):
+    """Conflicts of three facts: the last of each in text order goes."""
+    return removed_by_repair(store(spark, sf, "orders").df, [dear_done()])
+
+
+@query(
+    "kg_repair_digest",
+    """WITH RECURSIVE f AS (SELECT c_custkey AS k, md5(concat_ws(chr(31), concat('customer/', c_custkey), 'nextTo', concat('customer/', c_custkey + 1), '')) AS d
+          FROM customer),
+       r AS (SELECT k, d, (SELECT count(*) FROM f g WHERE abs(g.k - f.k) = 1 AND g.d < f.d) AS earlier FROM f),
+       step(n, kept, gone) AS (
+         SELECT 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+         UNION ALL
+         SELECT n + 1, list_concat(kept, new), list_distinct(list_concat(gone, flatten(list_transform(new, lambda k: [k - 1, k + 1]))))
+         FROM (SELECT n, kept, gone, (SELECT coalesce(list(k), []) FROM r WHERE NOT list_contains(kept, k) AND NOT list_contains(gone, k)
+                 AND NOT EXISTS (SELECT 1 FROM f g WHERE abs(g.k - r.k) = 1 AND g.d < r.d AND NOT list_contains(gone, g.k))) AS new FROM step)
+         WHERE len(new) > 0)
+       SELECT concat('customer/', k) AS s, 'nextTo' AS p, concat('customer/', k + 1) AS o FROM f
+       WHERE NOT list_contains((SELECT kept FROM step ORDER BY n DESC LIMIT 1), k)""",
+)
+def kg_repair_digest(spark, sf):
+    """A chain of conflicts from one end of the table to the other, decided in the order of a digest."""
+    chain = table(spark, sf, "customer").selectExpr(
+        "concat('customer/', c_custkey) AS s", "'nextTo' AS p", "concat('customer/', c_custkey + 1) AS o", "cast(NULL AS double) AS o_num"
+    )
+    return removed_by_repair(chain, [Denial([("?a", "nextTo", "?b"), ("?b", "nextTo", "?c")])], by="digest")
+
+
+@query(
+    "kg_infer_repair_three",
+    """SELECT concat('order/', o_orderkey) AS s, 'priority' AS p, '1-URGENT' AS o FROM orders
+       WHERE o_totalprice > 250000 AND o_orderpriority <> '1-URGENT' AND NOT (o_orderstatus = 'F' AND o_totalprice > 300000)""",
+)
+def kg_infer_repair_three(spark, sf):
+    """Large orders become urgent unless that completes a conflict of three facts."""
+    rule = Rule([("?o", "total", "?t")], [("?o", "priority", "1-URGENT")], [compare("?t", ">", 250000)])
+    return infer_with_repair(store(spark, sf, "orders").df, [rule], [dear_done()]).select(*SPO)
+
+
 # -- levels --------------------------------------------------------------------------------------------
 
 
