@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.llm import langid, minhash, pieces, secrets, winnow
+from trivane.llm.bloom import bloom, may_hold
 from trivane.llm.queries import PIECES
 from trivane.session import materialize, new_step_dir
 
@@ -55,13 +56,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark and keep the document."""
+    """Replace every secret by a mark and keep the document.
+
+    Only rows that a Bloom filter of the contents with findings lets pass move to meet them; all others, texts and all,
+    stay where they are read.
+    """
     found = secrets.scan(docs, secrets.Ledger(spark), "documents")
     hits = materialize(found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "hits")
-    spotted = secrets.addressed(docs).join(_small(hits, 2000), "blob", "left")
+    words, bits = bloom(hits, "blob")
+    asked = secrets.addressed(docs).crossJoin(F.broadcast(materialize(words, "bloom")))
+    asked = asked.withColumn("maybe", may_hold(F.col("words"), bits, F.col("blob"))).drop("words")
+    spotted = asked.filter("maybe").join(hits, "blob", "left")
     clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("spans")))
     length = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("bigint"))
-    return spotted.withColumns({"n_chars": length, "text": clean}).select(docs.columns)
+    hidden = spotted.withColumns({"n_chars": length, "text": clean}).select(docs.columns)
+    return hidden.unionByName(asked.filter("not maybe").select(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
