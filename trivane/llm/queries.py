@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trivane.llm import bpe, chat, langid, merkle, pieces, quality, rollup, search, secrets, tokenfile, winnow
 from trivane.llm.minhash import Shingling, near_duplicates
 from trivane.llm.neighbours import near_vectors
+from trivane.llm.oracles import LOWER, ORACLES, UPPER
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = chat.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -119,9 +120,6 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), WORDS, with_ids=False)
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a leaf, with its proof; texts of a third of the ids are folded as if lower-cased."""
     tampered = F.when(_remainder(3) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
@@ -157,32 +155,5 @@ QUERIES: dict[str, Query] = {
     "op12_bpe": op12_bpe,
     "op13_manifest": op13_manifest,
 }
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ORACLES: dict[str, str] = {
-    "op11_search": f"""
-WITH words AS (
-  SELECT d.rowid AS row, d.doc_id, unnest(regexp_extract_all(translate(d.text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term
-  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents) d
-), lengths AS (SELECT row, count(*) AS n FROM words GROUP BY row),
-counts AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY row, doc_id, term),
-held AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
-totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
-asked AS (
-  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term
-  FROM benchmark
-), weights AS (
-  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM held, totals
-), scores AS (
-  SELECT a.item_id, c.row, c.doc_id,
-         CAST(sum(w.weight * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (100 - 50 + ((50 * l.n * t.docs) // t.total)))))
-              AS BIGINT) AS score
-  FROM asked a JOIN counts c USING (term) JOIN weights w USING (term) JOIN lengths l ON l.row = c.row, totals t
-  GROUP BY a.item_id, c.row, c.doc_id
-), ranked AS (
-  SELECT item_id, doc_id, score,
-         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank
-  FROM scores WHERE score > 0
-)
-SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
-""",
-}
+
+__all__ = ["ORACLES", "QUERIES"]
