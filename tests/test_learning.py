@@ -33,3 +33,18 @@ def test_model_choice(spark, make_store):
     metrics = model_metrics(make_store(rows), labels, "ev", "label", "value")
     assert tuples(metrics)[0] == ("m1", 10.0, 20.0, 30.0)
     assert tuples(choose_model(metrics)) == [("m1", 16.0)]
+
+
+def test_importances_stated_or_measured(spark):
+    from trivane.learning.predict import LinearModel, importances
+
+    class Forest:
+        feature_importances_ = [0.25, 0.75]
+
+        def predict(self, frame):
+            return frame["a"]
+
+    rows = spark.createDataFrame([(0.0, 5.0), (2.0, 5.0), (4.0, 5.0)], "a double, b double")
+    assert {r["feature"]: r["importance"] for r in importances(rows, Forest(), ["a", "b"]).collect()} == {"a": 0.25, "b": 0.75}
+    measured = importances(rows, LinearModel({"a": 3.0, "b": 9.0}), ["a", "b"])
+    assert {r["feature"]: round(r["importance"], 9) for r in measured.collect()} == {"a": 4.0, "b": 0.0}

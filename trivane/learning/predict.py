@@ -38,6 +38,22 @@ class LinearModel:
         return out
 
 
+@dataclass(frozen=True)
+class LogisticModel:
+    """Two classes by a linear score: class 1 where its probability is at least one half."""
+
+    score: LinearModel
+
+    def predict_proba(self, frame):
+        import numpy as np
+
+        one = 1.0 / (1.0 + np.exp(-np.asarray(self.score.predict(frame), float)))
+        return np.column_stack([1.0 - one, one])
+
+    def predict(self, frame):
+        return (self.predict_proba(frame)[:, 1] >= 0.5).astype(float)
+
+
 def features(store: TripleStore, predicates: Mapping[str, str], key: str = "s") -> DataFrame:
     """One row per subject with a numeric column per predicate; subjects that lack one are left out.
 
@@ -84,6 +100,40 @@ def predict(
     return rows.mapInPandas(score, T.StructType(fields))
 
 
+def own_importances(model: Any, inputs: Sequence[str]) -> dict[str, float] | None:
+    """Importances that a model states itself, as ``feature_importances_`` of it or of the model it wraps."""
+    for holder in (model, getattr(model, "model", None)):
+        stated = getattr(holder, "feature_importances_", None)
+        if stated is not None:
+            return {name: float(value) for name, value in zip(inputs, stated, strict=True)}
+    return None
+
+
+def importances(rows: DataFrame, model: Any, inputs: Sequence[str]) -> DataFrame:
+    """One row per feature: (feature, importance).
+
+    A model's own importances, if it states them.  Else they are measured on all rows: how far predictions move on average
+    when a feature is replaced by its mean.  Tasks send sums only, one row per feature and batch of rows.
+    """
+    names = list(inputs)
+    stated = own_importances(model, names)
+    if stated is not None:
+        return rows.sparkSession.createDataFrame(list(stated.items()), "feature string, importance double")
+    means = rows.agg(*[F.avg(n).alias(n) for n in names]).first().asDict()
+
+    def moved(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            frame = batch[names].astype("float64")
+            here = model.predict(frame)
+            away = [abs(model.predict(frame.assign(**{n: means[n]})) - here).sum() for n in names]
+            yield pd.DataFrame({"feature": names, "total": away, "rows": len(frame)})
+
+    sums = rows.select(*names).mapInPandas(moved, "feature string, total double, rows bigint")
+    return sums.groupBy("feature").agg((F.sum("total") / F.sum("rows")).alias("importance"))
+
+
 def model_metrics(store: TripleStore, labels: Sequence[str], measure: str, label: str, value: str) -> DataFrame:
     """One row per model with a column per metric, from ``model measure m . m label name . m value x``."""
     expand = store.prefixes.expand

@@ -143,6 +143,13 @@ class TripleStore:
     def contains(self, s: str, p: str, o: str) -> bool:
         return not self.lookup(s, p, o).isEmpty()
 
+    def ask(self, triples: DataFrame) -> DataFrame:
+        """The distinct given triples, each with whether it is ``there``; with NULL in a position it is not."""
+        asked = triples.select(*SPO).distinct()
+        return asked.join(self.df.select(*SPO, F.lit(True).alias("there")), SPO, "left").select(
+            *SPO, F.coalesce("there", F.lit(False)).alias("there")
+        )
+
     def solutions(self, pattern: Sequence[str]) -> DataFrame:
         parsed = Pattern.of(pattern, self.prefixes)
         return scan(self.df, parsed).select(*parsed.variables)

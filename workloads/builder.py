@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -53,15 +55,48 @@ def qb_custom(spark, sf):
     return ask(spark, sf).filter((F.col("o_num") > 400000) & (F.length("s") < 12)).triples()
 
 
-@query("qb_custom_python", with_triples("SELECT s, p, o FROM triples WHERE p = 'name' AND length(o) > 8", *SHOP))
+@query(
+    "qb_custom_python",
+    with_triples(
+        """SELECT s, p, o FROM triples WHERE p = 'name' AND (
+             (length(o) + list_sum(list_transform(range(1, length(o) + 1), lambda i: (length(o) - i + 1) * ascii(o[i])))) % 65521 * 65536
+             + (1 + list_sum(list_transform(range(1, length(o) + 1), lambda i: ascii(o[i])))) % 65521) % 7 < 3""",
+        *SHOP,
+    ),
+)
 def qb_custom_python(spark, sf):
-    """The slow path: a condition only Python can express, in Arrow batches."""
+    """The slow path: a checksum that no built-in function computes, in Arrow batches."""
 
     @F.pandas_udf("boolean")
-    def long_text(values: pd.Series) -> pd.Series:
-        return values.str.len() > 8
+    def in_share(values: pd.Series) -> pd.Series:
+        return values.map(lambda text: zlib.adler32(text.encode()) % 7 < 3)
+
+    return ask(spark, sf).with_predicate("name").filter(in_share(F.col("o"))).triples()
 
-    return ask(spark, sf).with_predicate("name").filter(long_text(F.col("o"))).triples()
+
+@query(
+    "triple_ask",
+    """SELECT concat('customer/', c_custkey) AS s, 'segment' AS p, m AS o, m = c_mktsegment AS there
+       FROM customer, (SELECT DISTINCT c_mktsegment AS m FROM customer WHERE c_mktsegment <> 'BUILDING') UNION ALL
+       SELECT concat('nobody/', c_custkey), 'segment', c_mktsegment, false FROM customer""",
+)
+def triple_ask(spark, sf):
+    """Many exact triples asked for at once."""
+    customers = table(spark, sf, "customer")
+    marks = customers.select(F.col("c_mktsegment").alias("o")).filter("o <> 'BUILDING'").distinct()
+    each = customers.select(F.expr("concat('customer/', c_custkey)").alias("s"), F.lit("segment").alias("p")).crossJoin(F.broadcast(marks))
+    nobody = customers.selectExpr("concat('nobody/', c_custkey) AS s", "'segment' AS p", "c_mktsegment AS o")
+    return store(spark, sf, "customer").ask(each.unionByName(nobody))
+
+
+@query(
+    "solution_distinct",
+    """SELECT DISTINCT c_mktsegment AS segment, o_orderstatus AS status FROM customer JOIN orders ON o_custkey = c_custkey""",
+)
+def solution_distinct(spark, sf):
+    """Solutions projected to a few variables, each once."""
+    asked = Select("?segment", "?status").where(("?o", "placedBy", "?c"), ("?o", "status", "?status"), ("?c", "segment", "?segment"))
+    return asked.run(store(spark, sf, "customer", "orders")).distinct()
 
 
 @query("qb_subjects", with_triples("SELECT s AS subject FROM triples WHERE p = 'partOf' AND o = 'nation/3'", *SHOP))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trivane.functions.expressions import compare
-from trivane.learning.predict import LinearModel, choose_model, features, model_metrics, predict, write_back
+from trivane.learning.predict import LinearModel, LogisticModel, choose_model, features, importances, model_metrics, predict, write_back
 from trivane.plans.rules import Rule, RuleBase
 from trivane.query import Select
 from trivane.sources.feeds import to_triples
@@ -28,6 +28,35 @@ def ml_predict_linear(spark, sf):
     return scored(spark, sf).select("line", F.round("y", 6).alias("y"))
 
 
+CENTRED = LogisticModel(LinearModel({"quantity": 0.1, "discount": -4.0, "tax": 2.0}, bias=-2.0))
+CHANCE = "1 / (1 + exp(-(l_quantity * 0.0 - 2.0 + 0.1 * l_quantity + -4.0 * l_discount + 2.0 * l_tax)))"
+
+
+@query(
+    "ml_probability",
+    f"""SELECT {LINE} AS line, CASE WHEN {CHANCE} >= 0.5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y, round(greatest({CHANCE}, 1 - {CHANCE}), 6) AS sure
+        FROM lineitem""",
+)
+def ml_probability(spark, sf):
+    """The class of every line, and how probable it is."""
+    rows = features(store(spark, sf, "lineitem"), INPUTS, "line")
+    found = predict(rows, CENTRED, list(INPUTS), "y", "sure")
+    return found.select("line", "y", F.round("sure", 6).alias("sure"))
+
+
+@query(
+    "ml_importances",
+    """WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem)
+       SELECT 'quantity' AS feature, round(avg(abs(1.5 * (l_quantity - q))), 6) AS importance FROM lineitem, m
+       UNION ALL SELECT 'discount', round(avg(abs(-20.0 * (l_discount - d))), 6) FROM lineitem, m
+       UNION ALL SELECT 'tax', round(avg(abs(10.0 * (l_tax - t))), 6) FROM lineitem, m""",
+)
+def ml_importances(spark, sf):
+    """What each feature contributes to a model that states no importances, measured on all lines."""
+    rows = features(store(spark, sf, "lineitem"), INPUTS, "line")
+    return importances(rows, MODEL, list(INPUTS)).select("feature", F.round("importance", 6).alias("importance"))
+
+
 @query("ml_writeback", f"SELECT {LINE} AS s, 'predictedCost' AS p, round({SCORE}, 6) AS o_num FROM lineitem")
 def ml_writeback(spark, sf):
     triples = write_back(scored(spark, sf), "line", {"predictedCost": "y"})

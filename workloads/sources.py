@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trivane.query import Select
 from trivane.session import new_step_dir
-from trivane.sources import n3, rdfxml, text
+from trivane.sources import messages, n3, rdfxml, text
 from trivane.sources.feeds import json_fields, to_triples
 from trivane.store import TripleStore
 from workloads.registry import query
@@ -240,3 +240,21 @@ def store_save_load(spark, sf):
     path = new_step_dir(spark, "saved")
     store(spark, sf, *SHOP).save(path, rows_per_file=5000)
     return TripleStore.load(spark, path).df.select("s", "p", "o", "o_num")
+
+
+@query(
+    "message_readings",
+    """SELECT concat('user/', user_id) AS s, 'reading' AS p, cast(event_id AS varchar) AS o, cast(event_id AS double) AS o_num,
+       cast(floor(epoch_us(ts) / 1000000) AS bigint) AS ts FROM events""",
+)
+def message_readings(spark, sf):
+    """Messages written to a log of JSON lines, with broken lines among them, read as timestamped triples."""
+    folder = new_step_dir(spark, "messages")
+    sent = table(spark, sf, "events").selectExpr(
+        "concat('user/', user_id) AS topic",
+        "cast(floor(unix_micros(cast(ts AS timestamp)) / 1000000) AS bigint) AS at",
+        "cast(event_id AS string) AS value",
+    )
+    messages.write_messages(sent, folder)
+    table(spark, sf, "nation").select(F.concat(F.lit('{"topic": '), "n_name").alias("value")).write.mode("append").text(folder)
+    return messages.readings(messages.read_messages(spark, folder))

@@ -96,6 +96,23 @@ def rsp_range_step(spark, sf):
     return _set_sizes(spark, sf, WindowSpec.range(30, 10))
 
 
+SECONDS = """events_t AS (SELECT concat('user/', user_id) AS s, event_type AS p, cast(event_id AS varchar) AS o, value AS o_num,
+    cast(floor(epoch_us(ts) / 1000000) AS bigint) AS ts FROM events)"""
+
+
+@query(
+    "rsp_duration",
+    f"""WITH {SECONDS}, {_windows_sql(7200, 1800)} SELECT w_open, w_close, count(DISTINCT (s, p, o)) AS n FROM placed GROUP BY ALL""",
+)
+def rsp_duration(spark, sf):
+    """Windows of two hours every half hour, given as durations over seconds."""
+    seconds = table(spark, sf, "events").selectExpr(
+        "concat('user/', user_id) AS s", "event_type AS p", "cast(event_id AS string) AS o", "value AS o_num",
+        "cast(floor(unix_micros(cast(ts AS timestamp)) / 1000000) AS bigint) AS ts",
+    )
+    return window_sets(seconds, WindowSpec.sliding("PT2H", "PT30M")).groupBy("w_open", "w_close").agg(F.count("*").alias("n"))
+
+
 @query("rsp_on_close", stream_sql(SIZES, 60, 15))
 def rsp_on_close(spark, sf):
     return _sizes(window_contents(events(spark, sf), WindowSpec(60, 15), [OnWindowClose()]))
