@@ -77,6 +77,20 @@ class TripleStore:
         spread = spread.withColumn("__salt", salt).repartition("p", "__salt").drop("__salt", "__files")
         spread.sortWithinPartitions("p", "s").write.partitionBy("p").parquet(path)
 
+    def save_with_tables(self, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+        """The triples as :meth:`save` writes them, and property tables found from them: stars are then scans."""
+        from trivane.operators.characteristic import save_tables
+
+        self.save(f"{path}/triples", rows_per_file)
+        save_tables(self.df.select(*SPO, "o_num"), f"{path}/tables")
+
+    @classmethod
+    def load_with_tables(cls, spark: SparkSession, path: str, prefixes: dict[str, str] | None = None) -> TripleStore:
+        from trivane.operators.characteristic import load_tables
+
+        triples = cls.load(spark, f"{path}/triples", prefixes)
+        return cls(triples.df, prefixes, load_tables(spark, f"{path}/tables"))
+
     @property
     def spark(self) -> SparkSession:
         return self.df.sparkSession

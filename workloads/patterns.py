@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from trivane.functions.expressions import arith, compare, compare_arith, concat, negate, num, truthy
 from trivane.functions.registry import FunctionRegistry
 from trivane.query import Select, avg, maximum, minimum, total
+from trivane.session import new_step_dir
+from trivane.sources.text import read_ntriples, write_ntriples
 from trivane.store import TripleStore
 from trivane.terms import about
 from workloads.registry import query
@@ -76,7 +78,7 @@ def bgp_constants(spark, sf):
     return (
         Select("?c", "?n")
         .where(("?c", "segment", "BUILDING"), ("?c", "partOf", "?n"), ("?n", "partOf", "region/1"))
-        .run(shop(spark, sf))
+        .run(data or shop(spark, sf))
     )
 
 
@@ -89,7 +91,7 @@ JOIN2 = """SELECT concat('order/', o_orderkey) AS o, c_mktsegment AS seg FROM or
            ON o_custkey = c_custkey"""
 
 
-def _join2(spark, sf, strategy):
+def _join2(spark, sf, strategy, data=None):
     return (
         Select("?o", "?seg")
         .where(("?o", "placedBy", "?c"), ("?c", "segment", "?seg"))
@@ -98,6 +100,31 @@ def _join2(spark, sf, strategy):
     )
 
 
+def loaded(spark, sf):
+    """The shop as N-Triples files, read, saved with the property tables found in it, and loaded."""
+    folder = new_step_dir(spark, "loaded")
+    write_ntriples(TripleStore(shop(spark, sf).df).df, f"{folder}/nt")
+    TripleStore.of(read_ntriples(spark, f"{folder}/nt")).save_with_tables(f"{folder}/store")
+    return TripleStore.load_with_tables(spark, f"{folder}/store")
+
+
+@query(
+    "bgp_star_stored",
+    """SELECT concat('order/', o_orderkey) AS o, o_orderstatus AS status, o_orderpriority AS priority,
+       cast(cast(o_totalprice AS decimal(18,2)) AS varchar) AS total FROM orders""",
+)
+def bgp_star_stored(spark, sf):
+    """A star over loaded triples: one scan of the table of its subjects."""
+    star = about("?o", ("status", "?status"), ("priority", "?priority"), ("total", "?total"))
+    return Select("?o", "?status", "?priority", "?total").where(*star).run(loaded(spark, sf))
+
+
+@query("bgp_join2_stored", JOIN2)
+def bgp_join2_stored(spark, sf):
+    """Two stars of loaded triples that meet in one join."""
+    return _join2(spark, sf, "auto", loaded(spark, sf))
+
+
 @query("bgp_join2", JOIN2)
 def bgp_join2(spark, sf):
     return _join2(spark, sf, "auto")
