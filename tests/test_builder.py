@@ -58,7 +58,7 @@ def test_joins_between_stores(make_store):
 def test_predicate_join_beyond_the_folding_bound(make_store, monkeypatch):
     from trivane.operators import joins
 
-    monkeypatch.setattr(joins, "SMALL_SIDE", 1)
+    monkeypatch.setattr(joins, "SMALL_BYTES", 1)
     left, right = make_store([("a", "p", "b"), ("c", "q", "b")]), make_store([("b", "p", "w"), ("x", "p", "b"), ("x", "q", "y")])
     found = TripleQuery(left).join(right).join_on_predicate().triples()
     assert tuples(found) == [("a", "p", "b"), ("a", "p", "w"), ("c", "q", "y")]

@@ -331,3 +331,40 @@ def test_a_chain_of_conflicts_takes_few_rounds_in_digest_order(make_store, monke
     kept = {int(r["s"][1:]) for r in chain.collect()} - {int(s[1:]) for s in gone}
     assert not any(k + 1 in kept for k in kept)
     assert all(k - 1 in kept or k + 1 in kept for k in range(120) if k not in kept)
+
+
+@pytest.mark.parametrize("size", [2, 4, 6])
+def test_a_body_next_to_background_is_one_join_per_premise(spark, size):
+    from trivane.plans.rules import FACT, body_solutions
+
+    facts = spark.createDataFrame([(1, "a", "p", "b", None)], "fire_ts bigint, s string, p string, o string, o_num double")
+    fixed = spark.createDataFrame([("b", "p", "c", None)], "s string, p string, o string, o_num double")
+    chain = [Pattern.of((f"?v{k}", "p", f"?v{k + 1}")) for k in range(size)]
+    found = body_solutions(chain, lambda i: facts, ["fire_ts"], fixed.select(*FACT))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == size - 1
+
+
+def test_joins_of_keyed_and_fixed_facts_by_hand(spark):
+    """Random facts of both kinds: every pair that goes together meets once."""
+    from trivane.operators.keyed import join_patterns_keyed, under_every_key, with_fixed
+
+    draw = random.Random(8)
+    some = lambda n: {(draw.choice("abc"), draw.choice("pq"), draw.choice("abc")) for _ in range(n)}
+    fixed, keyed = some(4), {k: some(4) for k in (1, 2, 3)}
+    schema = "s string, p string, o string, o_num double"
+    rows = [(k, *t, None) for k, facts in keyed.items() for t in facts - fixed]
+    relation = with_fixed(
+        spark.createDataFrame(rows, "fire_ts bigint, " + schema), spark.createDataFrame([(*t, None) for t in fixed], schema), ["fire_ts"], ["s", "p", "o", "o_num"]
+    )
+    keys = spark.createDataFrame([(k,) for k in keyed], "fire_ts bigint")
+    for patterns in ([("?x", "p", "?y"), ("?y", "q", "?z")], [("?x", "p", "?y"), ("?u", "q", "?v")], [("?x", "p", "?x")]):
+        found = under_every_key(join_patterns_keyed(relation, [Pattern.of(t) for t in patterns], ["fire_ts"]), keys, ["fire_ts"])
+        names = sorted({t for pattern in patterns for t in pattern if t.startswith("?")})
+        want = []
+        for k, facts in keyed.items():
+            for combination in itertools.product(*[[f for f in facts | fixed if f[1] == p[1]] for p in patterns]):
+                bound = {}
+                if all(bound.setdefault(v, t) == t for f, p in zip(combination, patterns) for v, t in ((p[0], f[0]), (p[2], f[2]))):
+                    want.append((k, *[bound[n] for n in names]))
+        assert tuples(found, "fire_ts", *[n[1:] for n in names]) == sorted(want, key=str)

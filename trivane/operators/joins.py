@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivane.operators.bgp import weight
 from trivane.operators.skew import salted_join
-from trivane.session import fits
 
 SPO = ["s", "p", "o"]
-# A side of a join on the predicate is folded into one value up to this many distinct rows.
-SMALL_SIDE = 10_000
+# A side of a join on the predicate is folded into one value if its counted bytes are at most these.
+SMALL_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -37,25 +37,27 @@ def _emit(joined: DataFrame, s: str, p: str, o: str) -> DataFrame:
 
 
 def on_subject(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l.s, l.p, r.o); one row per partner is built only after the sides are reduced to what is emitted."""
-    joined = sided(left.select("s", "p").distinct(), "l").join(
-        sided(right.select("s", "o", "o_num").dropDuplicates(["s", "o"]), "r"), F.col("l_s") == F.col("r_s")
-    )
-    return _emit(joined, "l_s", "l_p", "r_o")
+    """(l.s, l.p, r.o); both sides are reduced to what is emitted.
+
+    The objects of a hot subject are dealt over tasks, and its predicates are repeated for each.
+    """
+    predicates = left.select("s", "p").distinct()
+    objects = right.select("s", "o", "o_num").dropDuplicates(["s", "o"])
+    return salted_join(objects, predicates, ["s"]).select("s", "p", "o", "o_num").dropDuplicates(SPO)
 
 
 def on_predicate(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l.s, l.p, r.o).
 
     Both sides are reduced to what is emitted.  One predicate may cover most rows, so the smaller side is
-    folded into one value, predicate to objects, while its row count allows; beyond that the join is
+    folded into one value, predicate to objects, while its counted bytes allow; beyond that the join is
     salted.
     """
     l_side = left.select("s", "p").distinct()
     r_side = right.select("p", "o", "o_num").dropDuplicates(["p", "o"])
-    if fits(r_side, SMALL_SIDE):
+    if weight(r_side) <= SMALL_BYTES:
         joined = _unfold(l_side, r_side)
-    elif fits(l_side, SMALL_SIDE):
+    elif weight(l_side) <= SMALL_BYTES:
         joined = _unfold(r_side, l_side)
     else:
         joined = salted_join(l_side, r_side, ["p"])

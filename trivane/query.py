@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from trivane.functions.expressions import as_number
 from trivane.functions.registry import FunctionRegistry
 from trivane.operators.bgp import (
+    BROADCAST_BYTES,
+    ROW_BYTES,
     compatible_join,
     join_patterns,
     join_solutions,
@@ -25,9 +27,6 @@ from trivane.operators.skew import top_rows
 from trivane.store import SPO, TripleStore, instantiate
 from trivane.terms import Pattern, Prefixes, is_var, twin, var_name
 
-# VALUES rows come from the driver, so they are small; beyond this many the table is joined by shuffle.
-INLINE_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class Aggregate:
@@ -162,7 +161,8 @@ class Select:
     def _inline(self, spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
         table = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
         table = table.select(*[c for n in names for c in (F.col(n), as_number(F.col(n)).alias(twin(n)))])
-        return F.broadcast(table) if len(rows) <= INLINE_ROWS else table
+        size = sum(ROW_BYTES + sum(len(v.encode()) for v in row if v is not None) for row in rows)
+        return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
     def _step(
         self, solutions: DataFrame | None, store: TripleStore, clause: tuple, carry: list[str], around: Around | None
