@@ -105,16 +105,28 @@ def weight(df: DataFrame) -> int:
 def attach(left: DataFrame, right: DataFrame) -> DataFrame:
     """Extend every row of one side by a component that shares no variable with it.
 
-    The result is a product by definition.  The rows of the left side are dealt over tasks and the right side is
-    repeated for each of them, an equi-join of any size in which neither side passes through one place.
+    The result is a product by definition.  Both sides are weighed: the lighter one is broadcast if its counted bytes
+    are few.  Else the rows of the heavier side are dealt over tasks and the lighter side is repeated for each of them,
+    in a merge join of any size in which neither side passes through one place.  A stream can't be weighed and is dealt.
     """
     if not right.columns:
         return left.filter(right.exists())
     if not left.columns:
         return right.filter(left.exists())
+    heavy, light = left, right
+    if not (left.isStreaming or right.isStreaming):
+        left_bytes, right_bytes = weight(left), weight(right)
+        heavy, light = (left, right) if left_bytes >= right_bytes else (right, left)
+        if min(left_bytes, right_bytes) <= BROADCAST_BYTES:
+            return heavy.crossJoin(F.broadcast(light)).select(*left.columns, *right.columns)
+    elif right.isStreaming:
+        heavy, light = right, left
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.withColumn("__task", F.pmod(F.xxhash64(*left.columns), F.lit(tasks)).cast("int"))
-    repeated = right.withColumn("__task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    dealt = heavy.withColumn("__task", F.pmod(F.xxhash64(*heavy.columns), F.lit(tasks)).cast("int"))
+    repeated = light.withColumn("__task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    if not (left.isStreaming or right.isStreaming):
+        # Spark estimates the repeated rows by those before, and might broadcast all of them.
+        repeated = repeated.hint("merge")
     return dealt.join(repeated, "__task").select(*left.columns, *right.columns)
 
 

@@ -62,6 +62,9 @@ def join_keyed(left: DataFrame, right: DataFrame, carry: Sequence[str]) -> DataF
         other = other.withColumn("__task", _numbers(tasks))
     same = [*shared, "__way", *([] if shared else ["__task"])]
     other = other.select(*[F.col(c).alias(f"__r_{c}") for c in other.columns])
+    if not (shared or left.isStreaming or right.isStreaming):
+        # Spark estimates the repeated rows by those before, and might broadcast all of them.
+        other = other.hint("merge")
     conditions = [F.col(c) == F.col(f"__r_{c}") for c in same]
     conditions += [F.col(on).eqNullSafe(F.col(f"__r_{on}")) for on in matched.values()]
     joined = one.join(other, reduce(lambda a, b: a & b, conditions))
