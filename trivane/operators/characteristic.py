@@ -48,7 +48,8 @@ def save_tables(triples: DataFrame, path: str, most_sets: int = MOST_SETS, rows_
         cells += [F.max(F.when(here, F.col("o"))).alias(f"c{k}"), F.max(F.when(here, F.col("o_num"))).alias(f"n{k}")]
     kept = triples.filter(F.col("p").isin(predicates)) if predicates else triples.limit(0)
     has = [F.when(F.col(f"c{k}").isNotNull(), F.lit(k)) for k in range(len(predicates))] or [F.lit(None).cast("int")]
-    rows = kept.groupBy("s").agg(*(cells or [F.lit(None).alias("none")])).withColumn("held", F.array_compact(F.array(*has)))
+    # Dealt by subject first: a triple is moved as it is and sorted once, not as a wide row with one cell filled.
+    rows = kept.repartition("s").groupBy("s").agg(*(cells or [F.lit(None).alias("none")])).withColumn("held", F.array_compact(F.array(*has)))
     rows = materialize(rows, "rows-of-subjects")
     sets = rows.groupBy("held").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "held").limit(most_sets).collect()
     every = list(range(len(predicates)))

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from trivane.functions.expressions import as_number
 from trivane.operators.bgp import scan
 from trivane.operators.wide import PropertyTable
+from trivane.session import materialize
 from trivane.terms import RDF_TYPE, Pattern, Prefixes
 
 SPO = ["s", "p", "o"]
@@ -78,11 +79,15 @@ class TripleStore:
         spread.sortWithinPartitions("p", "s").write.partitionBy("p").parquet(path)
 
     def save_with_tables(self, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-        """The triples as :meth:`save` writes them, and property tables found from them: stars are then scans."""
+        """The triples as :meth:`save` writes them, and property tables found from them: stars are then scans.
+
+        The triples may come from a costly reader, so they are evaluated once and then read back.
+        """
         from trivane.operators.characteristic import save_tables
 
-        self.save(f"{path}/triples", rows_per_file)
-        save_tables(self.df.select(*SPO, "o_num"), f"{path}/tables")
+        once = materialize(self.df, "to-save")
+        TripleStore(once).save(f"{path}/triples", rows_per_file)
+        save_tables(once.select(*SPO, "o_num"), f"{path}/tables")
 
     @classmethod
     def load_with_tables(cls, spark: SparkSession, path: str, prefixes: dict[str, str] | None = None) -> TripleStore:
