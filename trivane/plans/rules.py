@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivane.llm.bloom import bloom, may_hold
 from trivane.operators.bgp import join_order, join_solutions, linked_order, scan, variables
 from trivane.operators.keyed import join_keyed, with_fixed
 from trivane.operators.wide import PropertyTable, scan_star, star_variables, stars
@@ -22,6 +23,10 @@ from trivane.store import SPO, TripleStore, instantiate
 from trivane.terms import Pattern, Prefixes, is_var
 
 FACT = [*SPO, "o_num"]
+# Known facts pass a Bloom filter of a round's candidates once they are so many times the round before.
+MANY_KNOWN = 4
+# With fewer known facts than that, moving them costs less than the filter.
+SIEVE_FROM = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -157,6 +162,19 @@ def _refuse_growth(rules: Sequence[Rule], prefixes: Prefixes | None) -> None:
             raise ValueError(f"rule {rule.name or i} has a transform and feeds itself, so it need not end; set max_rounds")
 
 
+def without_known(candidates: DataFrame, known: DataFrame, key: Sequence[str], sieve: bool) -> DataFrame:
+    """Candidates that are not known.
+
+    With ``sieve`` only known facts that a Bloom filter of the candidates lets pass are moved to be compared.
+    """
+    known = known.select(*key)
+    if sieve:
+        candidates = materialize(candidates, "candidates")
+        words, bits = bloom(candidates.select(F.xxhash64(*key).alias("key")), "key")
+        known = known.crossJoin(F.broadcast(words)).filter(may_hold(F.col("words"), bits, F.xxhash64(*key))).select(*key)
+    return candidates.join(known, key, "left_anti")
+
+
 def infer(
     facts: DataFrame,
     rules: Sequence[Rule],
@@ -194,7 +212,8 @@ def infer(
 
     log = StepLog(base, "rules")
     delta: DataFrame | None = None
-    rounds = 0
+    rounds = latest = 0
+    known_rows: int | None = None
     while max_rounds is None or rounds < max_rounds:
         found = log.all()
         everything = relevant.unionByName(found) if len(log) else relevant
@@ -219,14 +238,19 @@ def infer(
             break
         candidates = union_all([c.select(*columns) for c in conclusions]).dropDuplicates(key)
         known = known_base.unionByName(found) if len(log) else known_base
-        fresh = candidates.join(known.select(*key), key, "left_anti")
+        if len(log) and known_rows is None:
+            known_rows = latest + known_base.count()
+        fresh = without_known(candidates, known, key, bool(len(log)) and known_rows > max(SIEVE_FROM, MANY_KNOWN * latest))
         if background is not None:
             fresh = fresh.join(fixed.select(*SPO), SPO, "left_anti")
         if accept is not None:
             fresh = accept(materialize(fresh, "candidates"), base.unionByName(found) if len(log) else base)
         delta = log.append(fresh)
         rounds += 1
-        if delta.isEmpty():
+        latest = delta.count()
+        if known_rows is not None:
+            known_rows += latest
+        if latest == 0:
             log.drop_last()
             break
     return log.all()
