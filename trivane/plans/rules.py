@@ -162,6 +162,32 @@ def _refuse_growth(rules: Sequence[Rule], prefixes: Prefixes | None) -> None:
             raise ValueError(f"rule {rule.name or i} has a transform and feeds itself, so it need not end; set max_rounds")
 
 
+def transitive(rules: Sequence[Rule], prefixes: Prefixes | None = None) -> dict[int, str]:
+    """Rules ``p(x, y), p(y, z) -> p(x, z)``, by number, where all other facts of p come in the first round.
+
+    That is so if p is concluded besides only by rules that no derived fact can start.  After round k all pairs with a
+    path of up to 2^(k-1) first facts are known, and those with exactly so many are new.  A shortest path of up to
+    twice that many begins with such a pair, so new facts at the first premise lead to all there is.
+    """
+    heads = _predicates([c for r in rules for c in r.conclusions(prefixes)])
+    if heads is None:
+        return {}
+    found = {}
+    for i, rule in enumerate(rules):
+        body, head = rule.premises(prefixes), rule.conclusions(prefixes)
+        if rule.filters or rule.transform is not None or len(body) != 2 or len(head) != 1:
+            continue
+        (a, b), c = body, head[0]
+        chained = (a.s, a.o, b.o) == (c.s, b.s, c.o) and len({a.s, a.o, b.o}) == 3 and all(map(is_var, (a.s, a.o, b.o)))
+        if not chained or not a.p == b.p == c.p or is_var(a.p):
+            continue
+        others = [r for j, r in enumerate(rules) if j != i and a.p in _predicates(r.conclusions(prefixes))]
+        starts = [_predicates(r.premises(prefixes)) for r in others]
+        if all(r.transform is None for r in others) and all(s is not None and not s & heads for s in starts):
+            found[i] = a.p
+    return found
+
+
 def without_known(candidates: DataFrame, known: DataFrame, key: Sequence[str], sieve: bool) -> DataFrame:
     """Candidates that are not known.
 
@@ -210,6 +236,9 @@ def infer(
     def step(rule: Rule, relation_of: Callable[[int], DataFrame], new_at: int | None = None) -> DataFrame:
         return apply_rule(rule, relation_of, carry, background, prefixes, tables, head_predicates, new_at)
 
+    # Given facts of the predicate would be facts of a round before the first.
+    chains = transitive(rules, prefixes) if semi_naive and accept is None and background is None and max_rounds is None else {}
+    chains = {i for i, p in chains.items() if base.filter(F.col("p") == p).isEmpty()}
     log = StepLog(base, "rules")
     delta: DataFrame | None = None
     rounds = latest = 0
@@ -219,7 +248,7 @@ def infer(
         everything = relevant.unionByName(found) if len(log) else relevant
         earlier = relevant.unionByName(log.before_last()) if len(log) > 1 else relevant
         conclusions = []
-        for rule in rules:
+        for number, rule in enumerate(rules):
             body = rule.premises(prefixes)
             if delta is None or not semi_naive:
                 conclusions.append(step(rule, lambda i, facts=everything: facts))
@@ -227,6 +256,8 @@ def infer(
             for position, premise in enumerate(body):
                 if head_predicates is not None and not is_var(premise.p) and premise.p not in head_predicates:
                     continue  # no new fact can match this premise
+                if number in chains and position:
+                    continue
 
                 # Premises before the one that takes the new facts see only older ones, so a combination of
                 # new facts is formed once.
