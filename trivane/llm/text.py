@@ -49,6 +49,7 @@ def alone(operator: str) -> None:
         if other != operator:
             release()
     if _LAST[0] not in (None, operator):
+        Powers.up = Powers.down = np.ones(1, np.uint64)
         gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -98,6 +99,36 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return SpanHasher(values).of(starts, ends)
 
 
+class Slots:
+    """Finds distinct 64-bit keys by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        # Entry 0 is no key; a key whose slot is taken goes into the next free one.
+        self._keys = np.concatenate([np.zeros(1, np.uint64), keys.astype(np.uint64)])
+        bits = max(4, 3 + len(keys).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._entries = np.zeros((1 << bits) + len(keys) + 1, np.int32)
+        for entry, slot in enumerate(self._slot(self._keys[1:]).tolist(), 1):
+            while self._entries[slot]:
+                slot += 1
+            self._entries[slot] = entry
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * MIX_1) >> self._shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its place among those given at first, from 1, or 0."""
+        slot = self._slot(keys)
+        entry = self._entries[slot]
+        wrong = np.flatnonzero((entry > 0) & (self._keys[entry] != keys))
+        while len(wrong):
+            # A free slot ends the search, a taken one leads to the next.
+            slot[wrong] += 1
+            entry[wrong] = self._entries[slot[wrong]]
+            wrong = wrong[(entry[wrong] > 0) & (self._keys[entry[wrong]] != keys[wrong])]
+        return entry
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; null is empty."""
     if column.null_count:
