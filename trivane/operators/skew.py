@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trivane.operators.bgp import BROADCAST_BYTES, weight
+from trivane.session import materialize
+
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 200
 SALT = 64
@@ -66,11 +69,21 @@ def chunk_of(columns: Sequence[str], chunks: Column) -> Column:
 def chunked(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``chunk``: groups larger than ``rows`` split into chunks of about that many rows.
 
-    Only the sizes of groups above ``rows`` are joined back, so ordinary groups never meet the join's
-    right side.
+    Rows are first counted by a hash of their keys, whose groups can only be larger.  Where none is above ``rows`` no row
+    is joined or moved; else only groups of such hashes are counted by key, and only sizes above ``rows`` are joined back:
+    by broadcast if their counted bytes are few, or by a join that spreads hot keys.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__size")).filter(F.col("__size") > rows)
-    sized = salted_join(df, sizes, keys, "left", columns)
+    hashed = df.withColumn("__hash", F.xxhash64(*keys))
+    counted = hashed.groupBy("__hash").agg(F.count("*").alias("__size")).filter(F.col("__size") > rows)
+    large = materialize(counted.select("__hash"), "large")
+    if large.isEmpty():
+        return df.withColumn("chunk", F.lit(0).cast("bigint"))
+    maybe = hashed.join(F.broadcast(large) if weight(large) <= BROADCAST_BYTES else large, "__hash", "left_semi")
+    sizes = materialize(maybe.groupBy(*keys).agg(F.count("*").alias("__size")).filter(F.col("__size") > rows), "sizes")
+    if weight(sizes) <= BROADCAST_BYTES:
+        sized = df.join(F.broadcast(sizes), list(keys), "left")
+    else:
+        sized = salted_join(df, sizes, keys, "left", columns)
     chunks = F.coalesce(F.ceil(F.col("__size") / F.lit(rows)), F.lit(1)).cast("bigint")
     return sized.withColumn("chunk", chunk_of(columns, chunks)).drop("__size")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -27,10 +28,14 @@ from trivane.terms import RDF_TYPE
 DESCRIPTION_END = "</rdf:Description>"
 RDF_NAMESPACE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XML_NAMESPACE = "http://www.w3.org/XML/1998/namespace"
+BASE_SCOPE = {"rdf": RDF_NAMESPACE, "xml": XML_NAMESPACE}
+NOTHING: dict[str, str] = {}
 ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
 # A predicate that is an IRI is cut before its longest end that can be an element's name.
 IRI_PARTS = r"^(.*?[^\w.-])([A-Za-z_][\w.-]*)$"
 ROOT = re.compile(r"<(?:[\w.-]+:)?RDF[\s>]")
+ROOT_END = re.compile(r"</(?:[\w.-]+:)?RDF\s*>")
+DESCRIPTION = re.compile(r"<(?:[\w.-]+:)?Description[\s>/]")
 
 SCHEMA = "file string, kind string, s string, p string, o string, o_kind string, o_datatype string, o_lang string, prefix string"
 NAMES = ["file", "kind", "s", "p", "o", "o_kind", "o_datatype", "o_lang", "prefix"]
@@ -42,13 +47,23 @@ def xml_escape(column: Column) -> Column:
     return column
 
 
+@lru_cache(1 << 14)
+def _base_name(name: str, attribute: bool) -> tuple[str, str | None]:
+    """(IRI or name as written, prefix that only the root can declare) where a piece declares nothing."""
+    prefix, colon, local = name.rpartition(":")
+    if attribute and not colon:
+        return name, None
+    return (BASE_SCOPE[prefix] + local, None) if prefix in BASE_SCOPE else (name, prefix)
+
+
 class Description:
     """Takes the events of one piece: a description element, in the first piece of a file below the root."""
 
     def __init__(self, depth: int) -> None:
         # How deep the description lies; the root, where there is one, is above it.
         self._at = depth
-        self._scopes: list[dict[str, str]] = [{"rdf": RDF_NAMESPACE, "xml": XML_NAMESPACE}]
+        self._scopes: list[dict[str, str]] = [BASE_SCOPE]
+        self._declares = False
         self.namespaces: dict[str, str] = {}
         self.rows: list[tuple] = []
         self.fault: str | None = None
@@ -58,6 +73,8 @@ class Description:
 
     def _name(self, name: str, attribute: bool = False) -> tuple[str, str | None]:
         """(IRI or name as written, prefix that only the root can declare)."""
+        if not self._declares:
+            return _base_name(name, attribute)
         prefix, colon, local = name.rpartition(":")
         if attribute and not colon:
             return name, None
@@ -67,8 +84,15 @@ class Description:
         return name, prefix
 
     def start(self, name: str, attributes: dict[str, str]) -> None:
-        declared = {k[6:]: v for k, v in attributes.items() if k == "xmlns" or k.startswith("xmlns:")}
         depth = len(self._scopes) - 1
+        if not attributes and depth == self._at + 1:
+            # The most frequent element, a property with text.
+            self._scopes.append(NOTHING)
+            self._property = (*self._name(name), None, None, None)
+            self._text = []
+            return
+        declared = {k[6:]: v for k, v in attributes.items() if k == "xmlns" or k.startswith("xmlns:")}
+        self._declares |= bool(declared)
         self._scopes.append(declared)
         if depth < self._at:
             self.namespaces.update(declared)
@@ -119,16 +143,15 @@ class Description:
 
 def parse_piece(text: str) -> Description:
     """The events of one piece, with or without its end tag; ``fault`` says what is wrong with it."""
-    whole = bool(ROOT.search(text))
+    whole = "RDF" in text and bool(ROOT.search(text))
     found = Description(1)
     parser = expat.ParserCreate()
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler = found.start, found.end
     parser.CharacterDataHandler = found.text
     try:
-        parser.Parse(text.lstrip() if whole else f"<piece>{text}")
-        if not text.rstrip().endswith(DESCRIPTION_END):
-            parser.Parse(DESCRIPTION_END)
+        end = "" if text.rstrip().endswith(DESCRIPTION_END) else DESCRIPTION_END
+        parser.Parse((text.lstrip() if whole else f"<piece>{text}") + end)
     except expat.ExpatError as error:
         found.fault = str(error)
     return found
@@ -139,10 +162,10 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rest = re.sub(r"</(?:[\w.-]+:)?RDF\s*>", "", text).strip()
+            rest = (ROOT_END.sub("", text) if "RDF" in text else text).strip()
             if not rest:
                 continue
-            if "<" not in rest or not re.search(r"<(?:[\w.-]+:)?Description[\s>/]", rest):
+            if "<" not in rest or not DESCRIPTION.search(rest):
                 # What follows the last description: comments, or a root without any.
                 if not ROOT.search(rest) and not rest.startswith("<!--"):
                     rows.append((file, "reject", None, None, text, None, None, "no description", None))
@@ -153,7 +176,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((file, "reject", None, None, text, None, None, found.fault, None))
                 continue
             rows += [(file, "triple", *row) for row in found.rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(NAMES))], names=NAMES)
+        columns = zip(*rows, strict=True) if rows else [()] * len(NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=NAMES)
 
 
 @dataclass(frozen=True)
@@ -247,7 +271,9 @@ def render_rdfxml(triples: DataFrame, chunk_rows: int = CHUNK_ROWS, prefixes: di
     """
     kept = [c for c in (*SPO, "o_kind", "o_datatype", "o_lang") if c in triples.columns]
     split = chunked(triples.select(*kept), ["s"], SPO, chunk_rows)
-    bodies = split.groupBy("s", "chunk").agg(F.array_sort(F.collect_list(_element(split, prefixes or {}))).alias("tags"))
+    # In a projection of its own, so that what is constant in a branch of a union is folded there.
+    tagged = split.select("s", "chunk", _element(split, prefixes or {}).alias("tag"))
+    bodies = tagged.groupBy("s", "chunk").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     about = F.when(F.col("s").startswith("_:"), F.concat(F.lit('rdf:nodeID="'), F.substring("s", 3, 1 << 20)))
     element = F.concat(
         F.lit("  <rdf:Description "),
@@ -269,17 +295,15 @@ def write_rdfxml(triples: DataFrame, path: str, prefixes: dict[str, str] | None
     """Write part files, each a whole document: every task puts the header before its elements."""
     first, last = header(prefixes or {}), "</rdf:RDF>"
 
-    def documents(batches):
-        import pandas as pd
-
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = False
         for batch in batches:
-            lines = list(batch["xml"])
-            if not opened and lines:
-                lines[0] = f"{first}\n{lines[0]}"
+            lines = batch.column(0)
+            if not opened and len(lines):
+                lines = pa.array([f"{first}\n{lines[0].as_py()}", *lines[1:].to_pylist()], pa.string())
                 opened = True
-            yield pd.DataFrame({"value": lines})
+            yield pa.RecordBatch.from_arrays([lines], names=["value"])
         if opened:
-            yield pd.DataFrame({"value": [last]})
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.string())], names=["value"])
 
-    render_rdfxml(triples, prefixes=prefixes).select("xml").mapInPandas(documents, "value string").write.text(path)
+    render_rdfxml(triples, prefixes=prefixes).select("xml").mapInArrow(documents, "value string").write.text(path)
