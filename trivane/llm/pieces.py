@@ -24,12 +24,14 @@ from trivane.llm.text import KEPT, Slots, alone, bounded_batches
 
 MARK = "▁"
 # Segments kept by a worker, in each of two generations.
-KEPT_SEGMENTS = 50_000
+KEPT_SEGMENTS = 70_000
 LONGEST_KEPT = 64
 # Fewer segments than this are merged one by one, which then costs less than the rounds over arrays.
 FEWEST_AT_ONCE = 50
 # More than this are merged in several runs, whose arrays stay in the processor's cache.
 MOST_AT_ONCE = 4096
+# Texts are cut into segments in runs of about this many characters, since each occurrence is a string of its own.
+RUN_CHARS = 1 << 18
 CODES = 0x110000
 # An entry of the agenda is a piece's place in the order of scores, times PLACES, and the row of its left symbol.
 PLACES = 1 << 7
@@ -231,11 +233,17 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
         """(ids, ids as text, agreed) of each text, without an end id."""
-        cut = [self.segments(t) for t in texts]
-        known = self.learn(set().union(*cut)) if cut else {}
-        for parts in cut:
-            spelled = " ".join(map(known.__getitem__, parts))
-            yield list(map(int, spelled.split())), spelled, not self.differ or self.differ.isdisjoint(parts)
+        first = 0
+        while first < len(texts):
+            size, last = len(texts[first]), first + 1
+            while last < len(texts) and size + len(texts[last]) <= RUN_CHARS:
+                size, last = size + len(texts[last]), last + 1
+            cut = [self.segments(t) for t in texts[first:last]]
+            known = self.learn(set().union(*cut))
+            for parts in cut:
+                spelled = " ".join(map(known.__getitem__, parts))
+                yield list(map(int, spelled.split())), spelled, not self.differ or self.differ.isdisjoint(parts)
+            first = last
 
 
 # A run of marks and what follows, or the start of a text without a mark.
@@ -281,7 +289,7 @@ def encode_decode(
                 decoded.append(hashlib.sha256(decode(ids).encode()).hexdigest())
                 agreed.append(same)
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.array(ids, np.int32))
             columns = {
                 "id": batch.column(0),
                 "n_tokens": pa.array(counts, pa.int64()),
