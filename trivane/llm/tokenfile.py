@@ -11,6 +11,7 @@ import re
 import struct
 import uuid
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, groupby
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trivane.llm import rangecoder
+from trivane.llm.bpe import LETTER, NOT_PLAIN, NUMBER, PLAIN_END, SPACE, byte_letters
 from trivane.llm.text import KEPT, alone, bounded_batches
 from trivane.session import materialize, new_step_dir
 
-MAGIC = b"TIDS1\n"
+MAGIC = b"TIDS2\n"
 BLOCK = 4096
-GROUP_BLOCKS = 512
-KEPT_WORDS = 200_000
+GROUP = 1024 * BLOCK
+KEPT_WORDS = 300_000
+KEPT_IDS = 8 * KEPT_WORDS
 LONGEST_KEPT = 64
+# Texts are cut into parts in runs of about this many characters.
+RUN_CHARS = 1 << 21
 # magic, blocks, block length, ids, ids that occur, documents, bytes of the packed header
 HEAD = struct.Struct("<6sIIQIQQ")
 
@@ -47,6 +52,73 @@ SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
 PRINTABLE = re.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
 STEPS = ["NFC", "Replace", "Lowercase"]
+# Kinds and lower case of the plain characters.  One of them has a lower case of two characters.
+OF_SPACE, OF_LETTER, OF_NUMBER, OF_OTHER = range(4)
+KIND = np.full(PLAIN_END, OF_OTHER, np.uint8)
+for _kind, _members in ((OF_SPACE, SPACE), (OF_LETTER, LETTER), (OF_NUMBER, NUMBER)):
+    KIND[[ord(c) for c in _members]] = _kind
+LONGER = next(chr(c) for c in range(PLAIN_END) if len(chr(c).lower()) > 1)
+LOWER = np.array([ord(chr(c).lower()[0]) for c in range(PLAIN_END)], np.uint16)
+BYTE_LETTERS = "".join(byte_letters())
+QUOTE = ord("'")
+
+
+def plain_parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SPLITTER's parts of lower-cased plain characters: (characters of all parts, begins in them, begins in ``codes``)."""
+    kind, low = KIND[codes], LOWER[codes]
+    begins = np.empty(len(codes), bool)
+    begins[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == OF_NUMBER
+    inside = kind != OF_SPACE
+    begins &= inside
+    # A quote that begins a part takes certain endings with it; what follows begins anew.
+    quotes = np.flatnonzero((low == QUOTE) & begins)
+    if len(quotes):
+        after = np.concatenate([low, np.zeros(3, np.uint16)])
+        one, two = after[quotes + 1], after[quotes + 2]
+        pairs = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for found, length in ((np.isin(one, [ord(c) for c in "stmd"]), 2), (pairs, 3)):
+            at = quotes[found]
+            begins[at + 1] = False
+            end = at + length
+            end = end[end < len(codes)]
+            begins[end] = inside[end]
+    return low[inside], np.flatnonzero(begins[inside]), np.flatnonzero(begins)
+
+
+def spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` of given starts and lengths, one after another."""
+    shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    shift += np.arange(len(shift))
+    return flat[shift]
+
+
+class _Kept:
+    """Ids of parts: each part's place, and by place its ids in one array."""
+
+    def __init__(self) -> None:
+        self.places: dict[str | bytes, int] = {}
+        self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.parts = self.used = 0
+
+    def add(self, parts: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        for name, size in (("starts", self.parts + len(parts)), ("counts", self.parts + len(parts)), ("ids", self.used + len(ids))):
+            array = getattr(self, name)
+            if size > len(array):
+                setattr(self, name, np.concatenate([array, np.zeros(max(size - len(array), len(array) // 2), array.dtype)]))
+        self.places.update(zip(parts, range(self.parts, self.parts + len(parts)), strict=True))
+        here = slice(self.parts, self.parts + len(parts))
+        self.counts[here] = counts
+        self.starts[here] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.parts += len(parts)
+        self.used += len(ids)
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the parts at these places, ids per part)."""
+        counts = self.counts[places]
+        return spread(self.ids, self.starts[places], counts), counts
 
 
 class Encoder:
@@ -54,8 +126,9 @@ class Encoder:
 
     The tokenizer's normaliser and splitter treat white space as a break that nothing crosses, so a text's ids are
     those of its parts between spaces and line feeds, one after another.  Where the tokenizer lower-cases and splits by
-    SPLITTER, words of ASCII characters are cut further, into what the splitter gives the model.  Parts seen before are
-    looked up in two generations, so that common parts stay when the older one goes.
+    SPLITTER, plain texts are cut further, many at once, into what the splitter gives the model, and so are the ASCII
+    words of others.  Parts seen before are looked up in two generations, so that common parts stay when the older one
+    goes.
     """
 
     def __init__(self, how: Tokens) -> None:
@@ -63,8 +136,7 @@ class Encoder:
 
         self._tool = Tokenizer.from_file(how.path)
         self.size = max(self._tool.get_vocab_size(with_added_tokens=True), how.end + 1)
-        self._young: dict[str, tuple[int, ...]] = {"": ()}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self._young, self._old = _Kept(), _Kept()
         made = json.loads(self._tool.to_str())
         steps = [s["type"] for s in (made["normalizer"] or {}).get("normalizers", [])]
         split = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
@@ -86,26 +158,96 @@ class Encoder:
                 parts += words
         return parts
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self._young) > KEPT_WORDS:
-            self._young, self._old = {"": ()}, self._young
+    def _plain(self, text: str) -> bool:
+        plain = self._fine and not NOT_PLAIN.search(text) and LONGER not in text
+        return plain and not any(a in text for a in self._added)
+
+    def _learn(self, parts: list) -> None:
+        """Keep the ids of new parts: bytes are plain parts as the splitter gives them, others are texts."""
         young, old = self._young, self._old
-        cut = [self._parts(t) for t in texts]
-        fresh = set().union(*cut).difference(young)
-        young.update((w, old[w]) for w in fresh if w in old)
-        new = [w for w in fresh if w not in young]
-        if self._fine:
-            # The splitter gives parts of printable ASCII to the model as they are.
-            tokenize = self._tool.model.tokenize
-            young.update((w, tuple([t.id for t in tokenize(w)])) for w in new if PRINTABLE.fullmatch(w))
-        rest = [w for w in new if w not in young]
-        found = self._tool.encode_batch_fast(rest, add_special_tokens=False)
-        young.update((w, tuple(e.ids)) for w, e in zip(rest, found, strict=True))
-        ids = [list(chain.from_iterable(map(young.__getitem__, parts))) for parts in cut]
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del young[word]
-        return ids
+        again = [p for p in parts if p in old.places]
+        if again:
+            young.add(again, *old.of(np.array([old.places[p] for p in again], np.int64)))
+            parts = [p for p in parts if p not in old.places]
+        tokenize = self._tool.model.tokenize
+        rest, learnt, ids, counts = [], [], [], []
+        for part in parts:
+            # The splitter gives the model a part's bytes as letters; printable ASCII stands for itself.
+            if type(part) is bytes:
+                found = tokenize(charmap_decode(part.decode("utf-16-le").encode(), "strict", BYTE_LETTERS)[0])
+            elif self._fine and PRINTABLE.fullmatch(part):
+                found = tokenize(part)
+            else:
+                rest.append(part)
+                continue
+            learnt.append(part)
+            counts.append(len(found))
+            ids += [t.id for t in found]
+        if rest:
+            learnt += rest
+            for found in self._tool.encode_batch_fast(rest, add_special_tokens=False):
+                counts.append(len(found.ids))
+                ids += found.ids
+        young.add(learnt, np.array(ids, np.int32), np.array(counts, np.int64))
+
+    def _places(self, parts: list) -> np.ndarray:
+        """Where the ids of the parts are kept; new ones are encoded."""
+        places = list(map(self._young.places.get, parts))
+        if None in places:
+            self._learn(list(dict.fromkeys(p for p, at in zip(parts, places, strict=True) if at is None)))
+            places = list(map(self._young.places.__getitem__, parts))
+        return np.array(places, np.int64)
+
+    def _forget_long(self, parts: list) -> None:
+        for part in parts:
+            if len(part) > LONGEST_KEPT * (2 if type(part) is bytes else 1):
+                self._young.places.pop(part, None)
+
+    def _some(self, texts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of texts that are all plain or none."""
+        # Generations change here, since places are of the young one.
+        if self._young.parts > KEPT_WORDS or self._young.used > KEPT_IDS:
+            self._young, self._old = _Kept(), self._young
+        if plain:
+            codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+            chars, begins, at = plain_parts(codes)
+            ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+            offsets = np.append(begins, len(chars)).astype(np.int32) * np.int32(2)
+            words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
+            words = words.dictionary_encode()
+            _, cuts, data = words.dictionary.buffers()
+            cuts = np.frombuffer(cuts, np.int32)[: len(words.dictionary) + 1].tolist()
+            data = data.to_pybytes() if data is not None else b""
+            parts, order = [data[a:b] for a, b in zip(cuts, cuts[1:])], words.indices.to_numpy()
+        else:
+            cut = [self._parts(t) for t in texts]
+            parts, ends = list(chain.from_iterable(cut)), np.cumsum([len(c) for c in cut])
+            order = slice(None)
+        ids, counts = self._young.of(self._places(parts)[order])
+        self._forget_long(parts)
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(sums[ends], prepend=0)
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text)."""
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        sums = np.cumsum([len(t) for t in texts])
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(sums, sums[first] + RUN_CHARS, "right")))
+            run = texts[first:last]
+            if self._plain("\n".join(run)):
+                found.append(self._some(run, True))
+            else:
+                found += [self._some(list(some), plain) for plain, some in groupby(run, self._plain)]
+            first = last
+        ids, counts = zip(*found, strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, counts = self.flat(texts)
+        ends = np.cumsum(counts)
+        return [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
 _LOADED: dict[Tokens, Encoder] = {}
@@ -143,7 +285,7 @@ def pack_group(ids: np.ndarray, docs: list, counts: list[int], size: int) -> byt
     return HEAD.pack(MAGIC, blocks, BLOCK, len(ids), len(used), len(docs), len(index)) + index + b"".join(coded)
 
 
-def unpack_group(data: bytes, size: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+def unpack_group(data: bytes, size: int = 0) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(ids, document ids as text, ids per document) of a group; damaged blocks raise ValueError."""
     magic, blocks, length, total, used, docs, packed = HEAD.unpack_from(data)
     if magic != MAGIC:
@@ -158,7 +300,7 @@ def unpack_group(data: bytes, size: int) -> tuple[np.ndarray, list[str], np.ndar
         return out
 
     occur = np.cumsum(take("<u4", used).astype(np.int64))
-    freq = np.zeros(size, np.int64)
+    freq = np.zeros(max(size, int(occur[-1]) + 1), np.int64)
     freq[occur] = take("<u4", used)
     counts, sizes, sums = take("<u8", docs).astype(np.int64), take("<u4", blocks), take("<u4", blocks)
     names = head[at:].decode().split("\n") if docs else []
@@ -194,19 +336,43 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("tokenfile")
-        tool, stream, held, docs, counts, number, part, name = encoder(how), None, [], [], [], 0, 0, ""
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number, total
-            body = pack_group(np.concatenate(held).astype(np.int32), docs, counts, tool.size)
-            at = stream.tell()
-            stream.write(body)
-            row = [part, name, number, at, len(body), len(docs), total]
-            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            number, total = number + 1, 0
-            held.clear(), docs.clear(), counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=MANIFEST)
+        tool, stream, number, part, name = encoder(how), None, 0, 0, ""
+        docs: list = []
+        texts: list[str] = []
+        chars = 0
+        # Documents that are encoded, and not yet written.
+        held: list[np.ndarray] = []
+        counts: list[int] = []
+
+        def take() -> None:
+            nonlocal chars
+            ids, found = tool.flat(texts)
+            held.append(np.insert(ids, np.cumsum(found), how.end))
+            counts.extend((found + 1).tolist())
+            texts.clear()
+            chars = 0
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            """Write groups of whole documents while more than ``least`` ids are held."""
+            nonlocal number
+            total = sum(counts)
+            if total <= least:
+                return
+            ids = np.concatenate(held)
+            ends, first, begin = np.cumsum(counts), 0, 0
+            while total - begin > least:
+                # The last groups are of about the same size, so that none is small.
+                most = GROUP if least else -(-(total - begin) // -(-(total - begin) // GROUP))
+                last = min(int(np.searchsorted(ends, begin + most, "left")) + 1, len(ends))
+                body = pack_group(ids[begin : ends[last - 1]], docs[first:last], counts[first:last], tool.size)
+                at = stream.tell()
+                stream.write(body)
+                row = [part, name, number, at, len(body), last - first, int(ends[last - 1]) - begin]
+                kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                number, first, begin = number + 1, last, int(ends[last - 1])
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=MANIFEST)
+            held[:] = [ids[begin:]]
+            del docs[:first], counts[:first]
 
         for batch in batches:
             if not batch.num_rows:
@@ -217,17 +383,16 @@ def write_tokens(
                 system.create_dir(root, recursive=True)
                 name = f"ids-{part:06d}-{uuid.uuid4().hex}.tok"
                 stream = system.open_output_stream(f"{root}/{name}")
-            for doc, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
-                ids.append(how.end)
-                held.append(np.array(ids, np.int32))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(doc)
-                counts.append(len(ids))
-                total += len(ids)
-                if total >= BLOCK * GROUP_BLOCKS:
-                    yield flush()
-        if total:
-            yield flush()
+                texts.append(text)
+                chars += len(text)
+                if chars >= RUN_CHARS:
+                    take()
+                    yield from flush(GROUP + GROUP // 2)
         if stream is not None:
+            take()
+            yield from flush(0)
             stream.close()
 
     schema = "part int, file string, number bigint, at bigint, bytes bigint, docs bigint, ids bigint"
@@ -258,13 +423,13 @@ def read_tokens(manifest: DataFrame, how: Tokens, id_type: str = "bigint", id_co
     spread = groups.repartition(max(1, len(sizes), spark.sparkContext.defaultParallelism), "file", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = encoder(how).size
+        alone("tokenfile read")
         for batch in batches:
             for row in batch.to_pylist():
                 system, root = _open(row["folder"])
                 with system.open_input_file(f"{root}/{row['file']}") as stream:
                     stream.seek(row["at"])
-                    ids, names, counts = unpack_group(stream.read(row["bytes"]), size)
+                    ids, names, counts = unpack_group(stream.read(row["bytes"]))
                 raw = ids.astype("<u4")
                 ends = np.cumsum(counts)
                 sums = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends, counts, strict=True)]
