@@ -24,17 +24,20 @@ from pyspark.sql.window import Window
 
 from trivane.llm import rangecoder
 from trivane.llm.bpe import LETTER, NOT_PLAIN, NUMBER, PLAIN_END, SPACE, byte_letters
-from trivane.llm.text import KEPT, alone, bounded_batches
+from trivane.llm.text import BASE, KEPT, alone, bounded_batches, mix
 from trivane.session import materialize, new_step_dir
 
 MAGIC = b"TIDS2\n"
 BLOCK = 4096
-GROUP = 1024 * BLOCK
-KEPT_WORDS = 300_000
+GROUP = 1536 * BLOCK
+KEPT_WORDS = 400_000
 KEPT_IDS = 8 * KEPT_WORDS
+KEPT_OTHERS = 100_000
 LONGEST_KEPT = 64
 # Texts are cut into parts in runs of about this many characters.
-RUN_CHARS = 1 << 21
+RUN_CHARS = 1 << 20
+# Parts of about this many characters of text are looked up together.
+JOIN_CHARS = 1 << 24
 # magic, blocks, block length, ids, ids that occur, documents, bytes of the packed header
 HEAD = struct.Struct("<6sIIQIQQ")
 
@@ -94,31 +97,74 @@ def spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return flat[shift]
 
 
+def part_hashes(chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts that follow one another in ``chars``; none is empty."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(int(sizes.max()), BASE, np.uint64), dtype=np.uint64)
+    place = np.arange(len(chars)) - np.repeat(begins, sizes)
+    return mix(np.add.reduceat((chars + np.uint64(1)) * powers[place], begins) + sizes.astype(np.uint64))
+
+
 class _Kept:
-    """Ids of parts: each part's place, and by place its ids in one array."""
+    """Parts and their ids: sorted hashes, the place of each, and by place the part's characters and ids."""
 
     def __init__(self) -> None:
-        self.places: dict[str | bytes, int] = {}
-        self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.parts = self.used = 0
-
-    def add(self, parts: list, ids: np.ndarray, counts: np.ndarray) -> None:
-        for name, size in (("starts", self.parts + len(parts)), ("counts", self.parts + len(parts)), ("ids", self.used + len(ids))):
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begins, self.sizes, self.chars = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.starts, self.counts, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def full(self) -> bool:
+        return len(self.sizes) > KEPT_WORDS or len(self.ids) > KEPT_IDS
+
+    def find(self, keys: np.ndarray, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The place of each part, -1 where it isn't kept; characters are compared, since hashes may agree by chance."""
+        places = np.full(len(keys), -1)
+        if not len(self.keys):
+            return places
+        order = np.argsort(keys)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        k = np.flatnonzero(self.keys[at] == keys)
+        found = self.places[at[k]].astype(np.int64)
+        alike = self.sizes[found] == sizes[k]
+        k, found = k[alike], found[alike]
+        places[k] = found
+        other = spread(chars, begins[k], sizes[k]) != spread(self.chars, self.begins[found], sizes[k])
+        if other.any():
+            places[np.repeat(k, sizes[k])[other]] = -1
+        return places
+
+    def add(
+        self, keys: np.ndarray, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray
+    ) -> None:
+        """Keep parts of given characters and ids; of those with one hash the first is found again."""
+        places = np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32)
+        for name, more in (
+            ("begins", len(self.chars) + np.cumsum(sizes) - sizes),
+            ("sizes", sizes),
+            ("chars", spread(chars, begins, sizes)),
+            ("starts", len(self.ids) + np.cumsum(counts) - counts),
+            ("counts", counts),
+            ("ids", ids),
+        ):
             array = getattr(self, name)
-            if size > len(array):
-                setattr(self, name, np.concatenate([array, np.zeros(max(size - len(array), len(array) // 2), array.dtype)]))
-        self.places.update(zip(parts, range(self.parts, self.parts + len(parts)), strict=True))
-        here = slice(self.parts, self.parts + len(parts))
-        self.counts[here] = counts
-        self.starts[here] = self.used + np.cumsum(counts) - counts
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.parts += len(parts)
-        self.used += len(ids)
+            setattr(self, name, np.concatenate([array, more.astype(array.dtype)]))
+        once, first = np.unique(keys, return_index=True)
+        at = np.searchsorted(self.keys, once)
+        fresh = np.append(self.keys, 0)[at] != once
+        fresh |= at == len(self.keys)
+        self.keys = np.insert(self.keys, at[fresh], once[fresh])
+        self.places = np.insert(self.places, at[fresh], places[first[fresh]])
 
     def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the parts at these places, ids per part)."""
-        counts = self.counts[places]
-        return spread(self.ids, self.starts[places], counts), counts
+        counts = self.counts[places].astype(np.int64)
+        return spread(self.ids, self.starts[places].astype(np.int64), counts), counts
+
+
+# Plain texts that are cut: their words as an Arrow dictionary, and words per text.  Or other texts: ids, and ids per text.
+Cut = tuple[pa.DictionaryArray | np.ndarray, np.ndarray]
 
 
 class Encoder:
@@ -137,6 +183,9 @@ class Encoder:
         self._tool = Tokenizer.from_file(how.path)
         self.size = max(self._tool.get_vocab_size(with_added_tokens=True), how.end + 1)
         self._young, self._old = _Kept(), _Kept()
+        # Of texts that aren't plain.
+        self._young_words: dict[str, tuple[int, ...]] = {"": ()}
+        self._old_words: dict[str, tuple[int, ...]] = {}
         made = json.loads(self._tool.to_str())
         steps = [s["type"] for s in (made["normalizer"] or {}).get("normalizers", [])]
         split = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
@@ -162,88 +211,107 @@ class Encoder:
         plain = self._fine and not NOT_PLAIN.search(text) and LONGER not in text
         return plain and not any(a in text for a in self._added)
 
-    def _learn(self, parts: list) -> None:
-        """Keep the ids of new parts: bytes are plain parts as the splitter gives them, others are texts."""
-        young, old = self._young, self._old
-        again = [p for p in parts if p in old.places]
-        if again:
-            young.add(again, *old.of(np.array([old.places[p] for p in again], np.int64)))
-            parts = [p for p in parts if p not in old.places]
-        tokenize = self._tool.model.tokenize
-        rest, learnt, ids, counts = [], [], [], []
-        for part in parts:
-            # The splitter gives the model a part's bytes as letters; printable ASCII stands for itself.
-            if type(part) is bytes:
-                found = tokenize(charmap_decode(part.decode("utf-16-le").encode(), "strict", BYTE_LETTERS)[0])
-            elif self._fine and PRINTABLE.fullmatch(part):
-                found = tokenize(part)
-            else:
-                rest.append(part)
-                continue
-            learnt.append(part)
-            counts.append(len(found))
-            ids += [t.id for t in found]
-        if rest:
-            learnt += rest
-            for found in self._tool.encode_batch_fast(rest, add_special_tokens=False):
-                counts.append(len(found.ids))
-                ids += found.ids
-        young.add(learnt, np.array(ids, np.int32), np.array(counts, np.int64))
-
-    def _places(self, parts: list) -> np.ndarray:
-        """Where the ids of the parts are kept; new ones are encoded."""
-        places = list(map(self._young.places.get, parts))
-        if None in places:
-            self._learn(list(dict.fromkeys(p for p, at in zip(parts, places, strict=True) if at is None)))
-            places = list(map(self._young.places.__getitem__, parts))
-        return np.array(places, np.int64)
-
-    def _forget_long(self, parts: list) -> None:
-        for part in parts:
-            if len(part) > LONGEST_KEPT * (2 if type(part) is bytes else 1):
-                self._young.places.pop(part, None)
-
-    def _some(self, texts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per text) of texts that are all plain or none."""
-        # Generations change here, since places are of the young one.
-        if self._young.parts > KEPT_WORDS or self._young.used > KEPT_IDS:
-            self._young, self._old = _Kept(), self._young
-        if plain:
-            codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-            chars, begins, at = plain_parts(codes)
-            ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
-            offsets = np.append(begins, len(chars)).astype(np.int32) * np.int32(2)
-            words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
-            words = words.dictionary_encode()
-            _, cuts, data = words.dictionary.buffers()
-            cuts = np.frombuffer(cuts, np.int32)[: len(words.dictionary) + 1].tolist()
-            data = data.to_pybytes() if data is not None else b""
-            parts, order = [data[a:b] for a, b in zip(cuts, cuts[1:])], words.indices.to_numpy()
-        else:
-            cut = [self._parts(t) for t in texts]
-            parts, ends = list(chain.from_iterable(cut)), np.cumsum([len(c) for c in cut])
-            order = slice(None)
-        ids, counts = self._young.of(self._places(parts)[order])
-        self._forget_long(parts)
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(sums[ends], prepend=0)
-
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per text)."""
-        found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    def _other(self, texts: list[str]) -> Cut:
+        """(ids, ids per text) of texts that aren't plain."""
+        if len(self._young_words) > KEPT_OTHERS:
+            self._young_words, self._old_words = {"": ()}, self._young_words
+        young, old = self._young_words, self._old_words
+        cut = [self._parts(t) for t in texts]
+        fresh = set().union(*cut).difference(young)
+        young.update((w, old[w]) for w in fresh if w in old)
+        new = [w for w in fresh if w not in young]
+        if self._fine:
+            # The splitter gives parts of printable ASCII to the model as they are.
+            tokenize = self._tool.model.tokenize
+            young.update((w, tuple([t.id for t in tokenize(w)])) for w in new if PRINTABLE.fullmatch(w))
+        rest = [w for w in new if w not in young]
+        found = self._tool.encode_batch_fast(rest, add_special_tokens=False)
+        young.update((w, tuple(e.ids)) for w, e in zip(rest, found, strict=True))
+        ids = [np.fromiter(chain.from_iterable(map(young.__getitem__, parts)), np.int32) for parts in cut]
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del young[word]
+        return np.concatenate(ids), np.array([len(i) for i in ids])
+
+    def _cut_plain(self, texts: list[str]) -> Cut:
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        chars, begins, at = plain_parts(codes)
+        ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+        offsets = np.append(begins, len(chars)).astype(np.int32) * np.int32(2)
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
+        return words.dictionary_encode(), np.diff(ends, prepend=0)
+
+    def cut(self, texts: list[str]) -> list[Cut]:
+        """The parts of all texts, in runs."""
         sums = np.cumsum([len(t) for t in texts])
-        first = 0
+        cuts, first = [], 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(sums, sums[first] + RUN_CHARS, "right")))
             run = texts[first:last]
             if self._plain("\n".join(run)):
-                found.append(self._some(run, True))
+                cuts.append(self._cut_plain(run))
             else:
-                found += [self._some(list(some), plain) for plain, some in groupby(run, self._plain)]
+                for plain, some in groupby(run, self._plain):
+                    cuts.append((self._cut_plain if plain else self._other)(list(some)))
             first = last
+        return cuts
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, counts) of distinct plain parts; new ones are encoded and kept."""
+        if self._young.full():
+            self._young, self._old = _Kept(), self._young
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[: len(words) + 1].astype(np.int64)
+        data = data.to_pybytes() if data is not None else b""
+        chars, begins, sizes = np.frombuffer(data, np.uint16), offsets[:-1] // 2, np.diff(offsets) // 2
+        keys = part_hashes(chars[: offsets[-1] // 2], begins, sizes)
+        places = self._young.find(keys, chars, begins, sizes)
+        unknown = np.flatnonzero(places < 0)
+        older = self._old.find(keys[unknown], chars, begins[unknown], sizes[unknown])
+        again, older, new = unknown[older >= 0], older[older >= 0], unknown[older < 0]
+        known = np.flatnonzero(places >= 0)
+        # The splitter gives the model a part's bytes as letters.
+        tokenize, ids, counts = self._tool.model.tokenize, [], []
+        for a, b in zip(offsets[new].tolist(), offsets[new + 1].tolist(), strict=True):
+            found = tokenize(charmap_decode(data[a:b].decode("utf-16-le").encode(), "strict", BYTE_LETTERS)[0])
+            counts.append(len(found))
+            ids += [t.id for t in found]
+        new_ids, new_counts = np.array(ids, np.int32), np.array(counts, np.int64)
+        (known_ids, known_counts), (again_ids, again_counts) = self._young.of(places[known]), self._old.of(older)
+        order = np.concatenate([known, again, new])
+        counts_in_order = np.concatenate([known_counts, again_counts, new_counts])
+        begin, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[order], count[order] = np.cumsum(counts_in_order) - counts_in_order, counts_in_order
+        flat = np.concatenate([known_ids, again_ids, new_ids])
+        kept = np.concatenate([again, new])
+        kept = kept[sizes[kept] <= LONGEST_KEPT]
+        self._young.add(keys[kept], chars, begins[kept], sizes[kept], spread(flat, begin[kept], count[kept]), count[kept])
+        return flat, begin, count
+
+    def join(self, cuts: list[Cut]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text) of texts that are cut: their distinct parts are looked up together."""
+        plain = [words for words, _ in cuts if isinstance(words, pa.DictionaryArray)]
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        if plain:
+            every = pa.concat_arrays([w.dictionary for w in plain]).dictionary_encode()
+            number, first = every.indices.to_numpy(), 0
+            flat, begin, count = self._ids_of(every.dictionary)
+        for words, n in cuts:
+            if isinstance(words, np.ndarray):
+                found.append((words, n))
+                continue
+            part = number[first : first + len(words.dictionary)][words.indices.to_numpy()]
+            first += len(words.dictionary)
+            counts = count[part]
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            found.append((spread(flat, begin[part], counts), np.diff(sums[np.cumsum(n)], prepend=0)))
         ids, counts = zip(*found, strict=True)
         return np.concatenate(ids), np.concatenate(counts)
 
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text)."""
+        return self.join(self.cut(texts))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         ids, counts = self.flat(texts)
         ends = np.cumsum(counts)
@@ -339,18 +407,25 @@ def write_tokens(
         tool, stream, number, part, name = encoder(how), None, 0, 0, ""
         docs: list = []
         texts: list[str] = []
-        chars = 0
+        cuts: list[Cut] = []
+        chars = cut_chars = 0
         # Documents that are encoded, and not yet written.
         held: list[np.ndarray] = []
         counts: list[int] = []
 
-        def take() -> None:
-            nonlocal chars
-            ids, found = tool.flat(texts)
+        def cut() -> None:
+            nonlocal chars, cut_chars
+            cuts.extend(tool.cut(texts))
+            texts.clear()
+            chars, cut_chars = 0, cut_chars + chars
+
+        def join() -> None:
+            nonlocal cut_chars
+            ids, found = tool.join(cuts)
             held.append(np.insert(ids, np.cumsum(found), how.end))
             counts.extend((found + 1).tolist())
-            texts.clear()
-            chars = 0
+            cuts.clear()
+            cut_chars = 0
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             """Write groups of whole documents while more than ``least`` ids are held."""
@@ -388,10 +463,13 @@ def write_tokens(
                 texts.append(text)
                 chars += len(text)
                 if chars >= RUN_CHARS:
-                    take()
+                    cut()
+                if cut_chars >= JOIN_CHARS:
+                    join()
                     yield from flush(GROUP + GROUP // 2)
         if stream is not None:
-            take()
+            cut()
+            join()
             yield from flush(0)
             stream.close()
 
